@@ -5,7 +5,7 @@ token). A recursive query joins adjacent tokens with the merge table (left, righ
 rank, and repeats until no word has a pair left. Merge ranks are those of the concatenated bytes, as for rank files.
 
 Decoding: a query joins (sequence, position, token) rows with the vocabulary and aggregates the tokens' bytes in
-order of position. A sequence of identifiers is first cut before every token that begins with a space (decoding is the concatenation of its
+order of position. A sequence of identifiers is first cut into parts at white space and punctuation (decoding is the concatenation of its
 parts), so that each distinct part is decoded once while it stays in a bounded memo.
 
 Words of more than ``LONG`` bytes would need as many recursion steps as merges, with all their rows in each; those go to the heap of ``token_count``, which merges in the
@@ -18,8 +18,11 @@ encoded again; an empty table gives no rows; columns besides those named are ign
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from .token_count import count_symbols
 
 LONG = 200
 #: Entries of the two memos, and bytes of new words in one query.
-ENCODED, DECODED, CHUNK = 500_000, 300_000, 400_000
+ENCODED, DECODED, CHUNK = 1_400_000, 900_000, 400_000
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, token, done) AS (
@@ -38,17 +41,14 @@ WITH RECURSIVE step(word, pos, token, done) AS (
     UNION ALL
     SELECT word, pos, CASE WHEN pair = best THEN rank ELSE token END, best IS NULL
     FROM (
-        SELECT *, lag(pair) OVER (PARTITION BY word ORDER BY pos) AS before
+        SELECT *, min(pair) OVER (PARTITION BY word) AS best
         FROM (
-            SELECT *, min(pair) OVER (PARTITION BY word) AS best
-            FROM (
-                SELECT s.word, s.pos, s.token, m.rank, (m.rank::BIGINT << 32) | s.pos AS pair
-                FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM step WHERE NOT done) s
-                LEFT JOIN merges m ON m.l = s.token AND m.r = s.after
-            )
+            SELECT s.word, s.pos, s.token, s.before, m.rank, (m.rank::BIGINT << 32) | s.pos AS pair
+            FROM (SELECT word, pos, token, lead(token) OVER w AS after, lag(pos) OVER w AS before FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+            LEFT JOIN merges m ON m.l = s.token AND m.r = s.after
         )
     )
-    WHERE best IS NULL OR before IS DISTINCT FROM best
+    WHERE best IS NULL OR before IS DISTINCT FROM best & 4294967295
 )
 SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
@@ -75,7 +75,9 @@ class Codec:
             self.bytes_of[i] = b
         self.digits = [str(i) for i in range(len(self.bytes_of))]
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.spaced = np.array([b is not None and b[:1] == b" " for b in self.bytes_of])
+        #: A part is cut before a token that begins with white space, and on both sides of one without letters or digits.
+        self.opens = np.array([b is not None and b[:1].isspace() for b in self.bytes_of])
+        self.closes = np.array([b is not None and b.isascii() and not any(c.isalnum() for c in b.decode()) for b in self.bytes_of])
         pairs = [(left, right, i) for b, i in ranks.items() for k in range(1, len(b)) if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "max_temp_directory_size": "0KB"})
         for name, columns in (("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True))), ("vocabulary", {"token": list(ranks.values()), "hex": [b.hex() for b in ranks]})):
@@ -132,37 +134,51 @@ class Codec:
         if chunk:
             flush()
 
+    @staticmethod
+    def _looked_up(rows: list[list], memo: Bounded, learn: Callable[[list], None]) -> list[list[bytes]]:
+        """The memo entries of each row's items; ``learn`` is called once with the items that the memo lacks."""
+        found = [list(map(memo.get, row)) for row in rows]
+        lacking = [list(compress(row, map(not_, values))) for row, values in zip(rows, found, strict=True)]
+        missing = set().union(*lacking)
+        if len(memo) + len(missing) > memo.most:
+            memo.clear()  # the values found are held already
+        learn(list(missing))
+        for values, some in zip(found, lacking, strict=True):
+            at = -1
+            for x in some:
+                at = values.index(None, at + 1)
+                values[at] = memo[x]
+        return found
+
+    def encode_words(self, batch: list[str]) -> list[list[bytes]]:
+        """For each text the identifiers of each of its words, as little-endian 32-bit integers."""
+        return self._looked_up([self.split(t) for t in batch], self.encoded, self.learn)
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """The identifiers of each text."""
-        words = [self.split(t) for t in batch]
-        missing = set().union(*words) - self.encoded.keys() if words else set()
-        if len(self.encoded) + len(missing) > self.encoded.most:
-            self.encoded.clear()
-            missing = set().union(*words)
-        self.learn(missing)
-        of = self.encoded.__getitem__
-        return [np.frombuffer(b"".join(map(of, w)), "<i4") for w in words]
+        return [np.frombuffer(b"".join(words), "<i4") for words in self.encode_words(batch)]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        for k in range(0, len(parts), 50_000):
+            some = parts[k : k + 50_000]
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) // 4
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(some), "<i4")))
+            out = self._query("parts", pa.table({"part": pa.array(range(len(some)), pa.int32()), "ids": ids}), _DECODE).to_pylist()
+            self.decoded.update(zip(some, map(bytes.fromhex, out), strict=True))
 
     def decode(self, batch: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of identifiers."""
         parts: list[list[bytes]] = []
         for ids in batch:
             raw = ids.astype("<i4", copy=False).tobytes()
-            cuts = (4 * np.flatnonzero(self.spaced[ids[1:]]) + 4).tolist() if len(ids) else []
-            parts.append([raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)] if len(ids) else [])
-        missing = set().union(*parts) - self.decoded.keys() if parts else set()
-        if len(self.decoded) + len(missing) > self.decoded.most:
-            self.decoded.clear()
-            missing = set().union(*parts)
-        todo = list(missing)
-        for k in range(0, len(todo), 50_000):
-            some = todo[k : k + 50_000]
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) // 4
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(some), "<i4")))
-            out = self._query("parts", pa.table({"part": pa.array(range(len(some)), pa.int32()), "ids": ids}), _DECODE).to_pylist()
-            self.decoded.update(zip(some, map(bytes.fromhex, out), strict=True))
-        of = self.decoded.__getitem__
-        return [b"".join(map(of, p)) for p in parts]
+            alone = self.closes[ids]
+            cuts = (4 * np.flatnonzero(self.opens[ids[1:]] | alone[1:] | alone[:-1]) + 4).tolist()
+            parts.append(list(map(raw.__getitem__, map(slice, [0, *cuts], [*cuts, len(raw)]))) if raw else [])
+        return self.decode_parts(parts)
+
+    def decode_parts(self, batch: list[list[bytes]]) -> list[bytes]:
+        """The bytes of each sequence of identifiers that comes in parts, as ``encode_words`` gives them."""
+        return [b"".join(x) for x in self._looked_up(batch, self.decoded, self._learn_parts)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -175,7 +191,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _groups(rows: list, size: int = 2_000_000) -> Iterator[list]:
+def _groups(rows: list, size: int = 4_000_000) -> Iterator[list]:
     """Runs of rows of about ``size`` characters or identifiers, to bound what is held at once."""
     group, n = [], 0
     for r in rows:
@@ -223,13 +239,16 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for group in _groups(batch.column("text").to_pylist()):
+                gc.disable()  # millions of small objects and no cycles among them
                 c = codec(path, pattern)
-                encoded = c.encode(group)
+                encoded = c.encode_words(group)
                 of = c.digits.__getitem__
-                for ids, raw in zip(encoded, c.decode(encoded), strict=True):
+                for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
+                    ids = np.frombuffer(b"".join(words), "<i4").tolist()
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(of, ids.tolist())).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(" ".join(map(of, ids)).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(raw).hexdigest())
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
