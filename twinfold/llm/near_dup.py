@@ -5,13 +5,14 @@ least value, the count of leading zeros and ten mantissa bits: 16 bits a registe
 a band are candidates; the share of equal registers, corrected for chance collisions of compressed registers, estimates their Jaccard similarity; links are then
 confirmed on the full sets: 100 * intersection >= 80 * union.
 
-Equal sets are one node, so exact copies are never compared. A band's nodes are first compared with the band's least node only (each node
-with the one that it shares most bands with), which joins a group of near copies in as many comparisons as it has
+Equal sets are one node, so exact copies are never compared. A band's nodes are first compared with its leader only, the node that meets most others
+in its bands; each node tries the ``LEADERS`` leaders that it shares most bands with. This joins a group of near copies in about as many comparisons as it has
 members. What is then left are bands whose nodes lie in several components. Their nodes are dealt to chunks by a hash, those outside
-the band's largest component go to each chunk, and pairs across components that the estimate does not rule out are confirmed, the most similar first, in rounds until
-no such pair is left. So no band, however large, is held by one task, no pairs within a component are formed, and no candidate is dropped by a cap.
+the band's largest component go to each chunk, and the estimate tells at which spots (nodes of one leader, dealt to parts by a hash) a node may have links. The
+node's full set goes to those spots and is compared with the sets there; only links leave a spot. So no band, however large, is held by one task, pairs are compared but
+never formed as rows, and no candidate is dropped by a cap.
 
-With similarity s a band is shared with probability s^4; 24 bands miss a pair at 0.8 once in 300,000 times. The estimate's cut lies 3.5 standard
+With similarity s a band is shared with probability s^4; 24 bands miss a pair at 0.8 once in 300,000 times. The estimate's cut lies 3.1 standard
 deviations under 0.8.
 
 Edge cases: documents with fewer than 4 words have their whole sequence as one shingle; null, empty and blank texts have an empty set and
@@ -25,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, texts
 from .graph import components
 
-WORDS, REGISTERS, BAND = 4, 96, 4
+#: Words of a shingle, registers of a sketch, bands (from the first registers) and registers of a band.
+WORDS, REGISTERS, BANDS, BAND = 4, 192, 24, 4
 SIMILAR = 80
 #: Estimates under this are taken for unlike.
-CUT = 0.66
+CUT = 0.71
+#: Leaders that a node is compared with before any other pairs.
+LEADERS = 3
 CHUNK = 256
 #: Most rows of ids that are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -82,7 +86,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def bands(regs: np.ndarray) -> np.ndarray:
     """One key for each band."""
-    words = regs.view(np.uint64) if BAND == 4 else None
+    words = regs[: BANDS * BAND].view(np.uint64)  # four registers of 16 bits
     return _mixed(words + np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -131,12 +135,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, node long, regs binary, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, linked`` of each pair, compared on the full sets, which are made again from the texts of the pairs' nodes only."""
-    wanted = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("first_doc").alias("doc_id")), "node"), "wanted")
-    ids = wanted.select("doc_id").distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, items`` of the nodes wanted, made again from their texts only."""
+    wanted = stage(wanted.distinct().join(nodes.select("node", F.col("first_doc").alias("doc_id")), "node"), "wanted")
+    ids = wanted.select(F.col("doc_id").alias("other")).distinct()
     pick = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    rows = texts(docs).withColumn("key", F.col("doc_id")).join(pick.withColumnRenamed("doc_id", "other"), F.col("key").eqNullSafe(F.col("other"))).select("text")
+    rows = texts(docs).withColumn("key", F.col("doc_id")).join(pick, F.col("key").eqNullSafe(F.col("other"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -146,13 +150,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
             node = [xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in made]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["node", "items"])
 
-    # A doc_id may stand for other texts too; only wanted nodes stay, once each.
-    sets = rows.mapInArrow(run, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi")
-    sets = stage(sets, "sets")
+    # A doc_id may stand for other texts too: only wanted nodes stay.
+    return stage(rows.mapInArrow(run, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes)
     x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (100 * common >= SIMILAR * (F.size("x") + F.size("y") - common)).alias("linked"))
+    return both.filter(100 * common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,45 +179,90 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _across(keyed: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Pairs ``a, b, est, other`` across components that share a band and are not ruled out; None if no band has two components.
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not yet in one component."""
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
 
-    ``other`` is the component of the side in the chunk.
-    """
+
+def _across(keyed: DataFrame, comp: DataFrame, nodes: DataFrame, spots: DataFrame) -> DataFrame:
+    """``node, spot``: nodes that share a band with a node of another component at that spot and are not ruled out."""
     placed = keyed.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     several = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("big"), F.sum("c").alias("all"), F.count("*").alias("k")).filter("k > 1")
-    rows = stage(placed.join(several.select("key", "big", "all"), "key"), "several")
-    if rows.isEmpty():
-        return None
-    rows = rows.join(nodes.select("node", "n", "regs"), "node").withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int"))
-    held = rows.select("key", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("kind"), "node", "component", "n", "regs")
-    asks = rows.filter("component <> big").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "node", "component", "n", "regs")
+    rows = placed.join(several.select("key", "big", "all"), "key")
+    rows = stage(rows.join(nodes.select("node", "n", "regs"), "node").join(spots, "node").withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int")), "several")
+    held = rows.select("key", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("kind"), "node", "component", "n", "regs", "spot")
+    asks = rows.filter("component <> big").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "node", "component", "n", "regs", "spot")
     dealt = held.unionByName(asks).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        now, held, ready = None, [], None
         for batch in batches:
-            for key, chunk, kind, node, component, n, regs in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "kind", "node", "component", "n", "regs")), strict=True):
+            out = set()
+            for key, chunk, kind, node, component, n, regs, spot in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "kind", "node", "component", "n", "regs", "spot")), strict=True):
                 if (key, chunk) != now:
                     now, held, ready = (key, chunk), [], None
                 if kind == 0:
-                    held.append((node, component, n, regs))
+                    held.append((component, n, spot, regs))
                     continue
                 if ready is None:
-                    ids, comps, sizes = (np.array([x[i] for x in held], np.int64) for i in range(3))
-                    ready = ids, comps, sizes, np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, REGISTERS)
-                ids, comps, sizes, table = ready
-                # sizes of linked sets differ by a factor of 0.8 at most
-                at = np.flatnonzero((comps != component) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n)))
+                    ready = (*(np.array([x[i] for x in held], np.int64) for i in range(3)), np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, REGISTERS))
+                comps, sizes, where, table = ready
+                at = np.flatnonzero(_like(comps, sizes, component, n))
                 if len(at):
                     est = estimate((table[at] == np.frombuffer(regs, np.uint16)).sum(axis=1), n, sizes[at])
-                    out += [(min(node, i), max(node, i), float(e), c) for i, c, e in zip(ids[at].tolist(), comps[at].tolist(), est.tolist(), strict=True) if e >= CUT]
+                    out.update((node, x) for x in np.unique(where[at[est >= CUT]]).tolist())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "spot"])
+
+    return dealt.mapInArrow(run, "node long, spot long").distinct()
+
+
+def _like(comps: np.ndarray, sizes: np.ndarray, component: int, n: int) -> np.ndarray:
+    """Of other components, and of a size that a linked set can have."""
+    return (comps != component) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n))
+
+
+def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links ``a, b`` of the nodes asked with nodes of other components at the spot, confirmed on full sets; one for each component suffices.
+
+    A spot holds about ``CHUNK`` nodes, and only links leave it.
+    """
+    there = spots.join(asked.select("spot").distinct(), "spot", "left_semi")
+    sets = _sets(there.select("node").unionByName(asked.select("node")), docs, nodes).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = there.select("node", "spot", F.lit(0).alias("kind")).unionByName(asked.select("node", "spot", F.lit(1).alias("kind"))).join(sets, "node").repartition("spot").sortWithinPartitions("spot", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for batch in batches:
+            out = []
+            for spot, kind, node, component, items in zip(*(batch.column(c) for c in ("spot", "kind", "node", "component", "items")), strict=True):
+                spot, kind, node, component = spot.as_py(), kind.as_py(), node.as_py(), component.as_py()
+                own = np.sort(items.values.to_numpy().view(np.uint64))
+                if spot != now:
+                    now, held, ready = spot, [], None
+                if kind == 0:
+                    held.append((node, component, own))
+                    continue
+                if ready is None:
+                    ready = np.array([x[1] for x in held], np.int64), np.array([len(x[2]) for x in held], np.int64), np.array([registers(x[2]) for x in held])
+                comps, sizes, table = ready
+                at = np.flatnonzero(_like(comps, sizes, component, len(own)))
+                done = set()
+                if len(at):
+                    est = estimate((table[at] == registers(own)).sum(axis=1), len(own), sizes[at])
+                    for i in at[np.argsort(-est, kind="stable")][: int((est >= CUT).sum())].tolist():
+                        other, c, theirs = held[i]
+                        if c not in done:
+                            common = len(np.intersect1d(own, theirs, assume_unique=True))
+                            if 100 * common >= SIMILAR * (len(own) + len(theirs) - common):
+                                done.add(c)
+                                out.append((node, other))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["a", "b", "est", "other"])
-                out = []
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long, est double, other long")
+    return dealt.select("spot", "kind", "node", "component", "items").mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -218,39 +271,34 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     filled = base.filter("node IS NOT NULL")
     nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("leader")).filter("c > 1").select("key", "leader")
-    keyed = stage(rows.join(shared, "key").select("key", "node", "leader"), "keyed")
-    best = keyed.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    pairs = stage(_estimated(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), nodes), "pairs")
-    keyed = keyed.drop("leader")
-    edges = failed = None
-    most = 8
-    while not pairs.isEmpty():
-        seen = stage(_confirmed(pairs, docs, nodes), "seen")
-        good, bad = seen.filter("linked").select("a", "b"), seen.filter("NOT linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = good if edges is None else edges.unionByName(good)
-        failed = bad if failed is None else failed.unionByName(bad)
-        comp = stage(components(edges), "components")
-        more = _across(keyed, comp, nodes)
-        if more is None:
-            break
-        more = more.groupBy("a", "b").agg(F.max("est").alias("est"), F.min("other").alias("other")).join(failed.distinct(), ["a", "b"], "left_anti")
-        # The likeliest pairs of a node and a component first, more of them in each round, until none is left.
-        rank = F.row_number().over(_by("a", "other"))
-        rank_b = F.row_number().over(_by("b", "other"))
-        pairs = stage(more.withColumns({"r": rank, "s": rank_b}).filter((F.col("r") <= most) & (F.col("s") <= most)).select("a", "b"), "pairs")
-        most *= 16
-    if edges is None:
-        comp = nodes.select("node", F.col("node").alias("component")).limit(0)
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    keyed = stage(rows.join(shared, "key").select("key", "node", "c"), "keyed")
+    # A band's leader is its node that meets most others in all of its bands: the text that near copies were made from.
+    met = keyed.groupBy("node").agg(F.sum("c").alias("met"))
+    leaders = keyed.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    led = keyed.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    keyed = keyed.drop("c")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "leader"))  # at most as many rows as bands
+    led = stage(led.withColumn("r", rank).filter(F.col("r") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"), "r"), "led")
+    # A node's spot: the nodes with its first leader, dealt to parts of about CHUNK by a hash.
+    home = nodes.select("node").join(keyed.select("node").distinct(), "node", "left_semi").join(led.filter("r = 1").select(F.col("a").alias("node"), F.col("b").alias("home")), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    parts = home.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    spots = stage(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("spot")), "spots")
+    edges, comp = None, nodes.select("node", F.col("node").alias("component")).limit(0)
+    for turn in range(1, LEADERS + 2):
+        if turn <= LEADERS:
+            pairs = stage(_estimated(_apart(led.filter(F.col("r") == turn).select("a", "b"), comp), nodes), "pairs")
+            found = None if pairs.isEmpty() else _confirmed(pairs, docs, nodes)
+        else:  # every other pair across components, once
+            asked = stage(_across(keyed, comp, nodes, spots), "asked")
+            found = None if asked.isEmpty() else _confirmed_at(asked, comp, spots, docs, nodes)
+        if found is not None:
+            found = stage(found, "found")
+            edges = found if edges is None else edges.unionByName(found)
+            comp = stage(components(edges), "components")
     return base, nodes, comp
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(F.desc("est"), "a", "b")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     base, nodes, comp = linked(docs)
