@@ -2,12 +2,12 @@
 
 The pretrained model is a byte-context trie of order ``ORDER``, kept as a table of (context, symbol) counts: a key is the context's bytes followed by the symbol's, so the shorter
 contexts are suffixes and their keys are masked ones. Byte 255 never occurs in UTF-8; it pads the start of a text and is the end symbol. A
-context with T occurrences and D distinct symbols gives a seen symbol count / (T + D) and escapes with D / (T + D); after an escape the symbols of the
+context with T occurrences and D distinct symbols gives a seen symbol (2 count - 1) / 2T and escapes with D / 2T (estimator D); after an escape the symbols of the
 longer context are excluded from the shorter one's counts, and a context that then has nothing new is passed over. After the empty context all symbols that are left are
 equally likely. A text's score is the sum of the log10 probabilities of its bytes and its end.
 
 Neither the model nor the words' counts are broadcast or collected, as they grow with the corpus. Documents are dealt to blocks by a hash; a block lists the keys and the
-words that it holds, the list is joined with the model, and its answers are brought together with the block's documents, the answers first, so that a task holds the distinct
+words (as 63-bit hashes) that it holds, the list is joined with the model, and its answers are brought together with the block's documents, the answers first, so that a task holds the distinct
 keys of one block and streams its texts.
 
 Edge cases: a null or empty text has the end alone; a null doc_id is learned from and not held out; repeated rows count again and score alike; with nothing to learn
@@ -17,19 +17,20 @@ columns besides ``doc_id`` and ``text`` are ignored whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, texts
 
-ORDER = 5
-#: Bytes of text in a block, least number of blocks, bytes that are worked on at once, and distinct words held before they are sent.
-BLOCK, LEAST, PIECE, HELD = 48_000_000, 24, 2_000_000, 700_000
+ORDER = 4
+#: Bytes of text in a block, least number of blocks, and bytes that are worked on at once.
+BLOCK, LEAST, PIECE = 96_000_000, 12, 2_000_000
+#: Kinds of rows: contexts with a symbol, words, documents.
+GRAM, WORD, TEXT = 0, 1, 2
 EDGE = 255
 
 
@@ -56,21 +57,12 @@ def keys_of(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes
 
 
-def _sent(block: int, grams: list[np.ndarray], counts: list[np.ndarray], words: Counter) -> Iterator[pa.RecordBatch]:
-    """Rows (block, gram or word, count) of what a block has gathered."""
-    if grams:
-        key, n = _summed(grams, counts)
-        held, g = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
-        first = np.concatenate(([True], g[1:] != g[:-1]))
-        c = np.add.reduceat(np.where(held, 0, n), np.flatnonzero(first)) if len(g) else n
-        g = g[first].astype(np.int64)
-        for k in range(0, len(g), 50_000):
-            m = len(g[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int32)), pa.array(g[k : k + m]), pa.nulls(m, pa.binary()), pa.array(c[k : k + m].astype(np.int64))], ["block", "gram", "word", "c"])
-    items = list(words.items())
-    for k in range(0, len(items), 50_000):
-        some = items[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block, np.int32)), pa.nulls(len(some), pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64())], ["block", "gram", "word", "c"])
+def words_of(raw: bytes) -> np.ndarray:
+    """63-bit hashes of a text's words, ASCII lower case; bytes.split cuts at space and U+0009 to U+000D."""
+    from xxhash import xxh3_64_intdigest
+
+    words = raw.lower().split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,42 +73,63 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class _Tally:
+    """Distinct keys of a block with their counts in training texts; the lowest bit marks keys from other texts."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, held: bool) -> None:
+        key, n = np.unique((keys << np.uint64(1)) | np.uint64(held), return_counts=True)
+        self.keys.append(key)
+        self.counts.append(n)
+        if len(self.keys) >= 16:
+            key, n = _summed(self.keys, self.counts)
+            self.keys, self.counts = [key], [n]
+
+    def rows(self, block: int, kind: int) -> Iterator[pa.RecordBatch]:
+        if not self.keys:
+            return
+        key, n = _summed(self.keys, self.counts)
+        held, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        c = np.add.reduceat(np.where(held, 0, n), first) if len(first) else n
+        key = key[first].astype(np.int64)
+        for k in range(0, len(key), 50_000):
+            m = len(key[k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(key[k : k + m]), pa.array(c[k : k + m].astype(np.int64))], ["block", "kind", "key", "c"])
+
+
 def gather(blocks: DataFrame, order: int) -> DataFrame:
-    """``block, gram, word, c``: the keys and words of each block's documents, with their counts in its training texts (0: only in others)."""
+    """``block, kind, key, c``: the keys and words of each block's documents, with their counts in its training texts (0: only in others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, grams, counts, words = None, [], [], Counter()
+        now, grams, words = None, _Tally(), _Tally()
         for batch in batches:
             block, held = batch.column("block").to_pylist(), batch.column("held_out").to_pylist()
             raws = [t.encode() for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(raws):
                 if block[at] != now:
-                    yield from _sent(now, grams, counts, words)
-                    now, grams, counts, words = block[at], [], [], Counter()
+                    yield from grams.rows(now, GRAM)
+                    yield from words.rows(now, WORD)
+                    now, grams, words = block[at], _Tally(), _Tally()
                 end, size = at, 0
-                while end < len(raws) and block[end] == now and held[end] == held[at] and size < PIECE:
+                parts: tuple[list, list] = ([], [])
+                while end < len(raws) and block[end] == now and size < PIECE:
                     size += len(raws[end])
+                    parts[held[end]].append(raws[end])
                     end += 1
-                some = raws[at:end]
-                key, n = np.unique((keys_of(some, order)[0] << np.uint64(1)) | np.uint64(held[at]), return_counts=True)
-                grams.append(key)
-                counts.append(n)
-                if len(grams) >= 16:
-                    key, n = _summed(grams, counts)
-                    grams, counts = [key], [n]
-                for raw in some:
-                    if held[at]:
-                        words.update(dict.fromkeys(raw.lower().split(), 0))
-                    else:
-                        words.update(raw.lower().split())
-                if len(words) > HELD:
-                    yield from _sent(now, [], [], words)
-                    words = Counter()
+                for flag, some in enumerate(parts):
+                    if some:
+                        grams.add(keys_of(some, order)[0], bool(flag))
+                        words.add(np.concatenate([words_of(r) for r in some]), bool(flag))
                 at = end
-        yield from _sent(now, grams, counts, words)
+        yield from grams.rows(now, GRAM)
+        yield from words.rows(now, WORD)
 
-    return blocks.select("block", "held_out", "text").mapInArrow(run, "block int, gram long, word binary, c long")
+    return blocks.select("block", "held_out", "text").mapInArrow(run, "block int, kind int, key long, c long")
 
 
 def model(grams: DataFrame, order: int) -> DataFrame:
@@ -124,7 +137,7 @@ def model(grams: DataFrame, order: int) -> DataFrame:
 
     From the empty context up, ``rest`` is the probability of a symbol after an escape from the key's context.
     """
-    tables = {order: grams.groupBy("gram").agg(F.sum("c").alias("c"))}
+    tables = {order: stage(grams.groupBy("gram").agg(F.sum("c").alias("c")), "grams")}
     for j in range(order - 1, -1, -1):
         tables[j] = tables[j + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("gram")).agg(F.sum("c").alias("c"))
     now = None
@@ -133,28 +146,22 @@ def model(grams: DataFrame, order: int) -> DataFrame:
         if now is not None:
             t = t.withColumn("shorter", F.col("gram").bitwiseAND((1 << 8 * j) - 1))
             t = t.join(now.select(F.col("gram").alias("shorter"), F.col("c").alias("cp"), F.col("t").alias("tp"), F.col("d").alias("dp"), F.col("rest").alias("restp")), "shorter")
-        own = _window("ctx")  # at most 256 rows
+        own = Window.partitionBy("ctx")  # at most 256 rows
         seen = F.col("c") > 0
         t = t.withColumns({"t": F.sum("c").over(own), "d": F.sum(seen.cast("long")).over(own)} | ({} if now is None else {"gone": F.sum(F.when(seen, F.col("cp")).otherwise(0)).over(own)}))
         if now is None:
             t = t.withColumn("rest", F.lit(1.0) / F.greatest(F.lit(1), 256 - F.col("d")))
         else:
             left, new = F.col("tp") - F.col("gone"), F.col("dp") - F.col("d")
-            t = t.withColumn("rest", F.when(new <= 0, F.col("restp")).when(F.col("cp") > 0, F.col("cp") / (left + new)).otherwise(new / (left + new) * F.col("restp")))
+            t = t.withColumn("rest", F.when(new <= 0, F.col("restp")).when(F.col("cp") > 0, (2 * F.col("cp") - 1) / (2 * left)).otherwise(new / (2 * left) * F.col("restp")))
         now = t.select("gram", "c", "t", "d", "rest")
         if j < order:
             now = stage(now, f"order{j}")
-    both = F.col("t") + F.col("d")
-    p = F.when(F.col("d") == 0, F.col("rest")).when(F.col("c") > 0, F.col("c") / both).otherwise(F.col("d") / both * F.col("rest"))
+    both = 2 * F.col("t")
+    p = F.when(F.col("d") == 0, F.col("rest")).when(F.col("c") > 0, (2 * F.col("c") - 1) / both).otherwise(F.col("d") / both * F.col("rest"))
     return now.select("gram", F.log10(p).alias("lp"))
 
 
-def _window(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 class Table:
     """Look-up of 64-bit keys: a slot for most keys, binary search for those whose slot another key has."""
 
@@ -174,8 +181,8 @@ class Table:
         slot = self._slot(keys)
         out = self.slot_value[slot]
         other = np.flatnonzero(self.slot_key[slot] != keys)
-        if len(other):
-            out[other] = self.values[np.searchsorted(self.keys, keys[other])]
+        if len(other):  # keys that are not in the table get some value
+            out[other] = self.values[np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)]
         return out
 
 
@@ -187,19 +194,19 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
     # One block a partition: its number is the partition's.
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
     gathered = stage(gather(blocks.repartitionById(n_blocks, F.col("block")), order), "gathered")
-    grams, words = gathered.filter("word IS NULL"), gathered.filter("word IS NOT NULL")
-    lp = stage(model(grams.select("gram", "c"), order), "model")
-    counted = stage(words.groupBy("word").agg(F.sum("c").alias("n")), "words")
-    total = counted.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
+    grams, words = gathered.filter(F.col("kind") == GRAM), gathered.filter(F.col("kind") == WORD)
+    lp = stage(model(grams.select(F.col("key").alias("gram"), "c"), order), "model")
+    own = Window.partitionBy("key")  # at most as many rows as blocks
+    known = stage(words.select("block", "key", F.sum("c").over(own).alias("n"), "c", (F.min("block").over(own) == F.col("block")).alias("first")), "words")
+    total = known.agg(F.sum("c").alias("n"), F.sum((F.col("first") & (F.col("n") > 0)).cast("long")).alias("v")).first()
     n, v = (total["n"] or 0) + ends, (total["v"] or 0) + (ends > 0)
-    slices = grams.select("block", "gram").join(lp, "gram").select("block", F.lit(0).alias("kind"), "gram", "lp")
-    known = words.select("block", "word").join(counted, "word").select("block", F.lit(1).alias("kind"), "word", "n")
-    asked = blocks.select("block", F.lit(2).alias("kind"), "doc_id", "held_out", "text")
-    dealt = slices.unionByName(known, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    answers = grams.select("block", F.col("key").alias("gram")).join(lp, "gram").select("block", F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.col("lp").alias("value"))
+    counts = known.select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    asked = blocks.select("block", F.lit(TEXT).alias("kind"), "doc_id", "held_out", "text")
+    dealt = answers.unionByName(counts).unionByName(asked, allowMissingColumns=True).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, log = None, lambda c: float(np.log10((c + 1) / (n + v + 1)))
-        logs: dict[int, float] = {}
+        now = None
         for batch in batches:
             at, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(at)]
@@ -207,40 +214,35 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
                 if a == b:
                     continue
                 if at[a] != now:
-                    now, keys, values, base, table = at[a], [], [], {}, None
+                    now, got, tables = at[a], {GRAM: [], WORD: []}, None
                 part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    keys.append(part.column("gram").to_numpy(zero_copy_only=False).astype(np.uint64))
-                    values.append(part.column("lp").to_numpy(zero_copy_only=False))
-                elif kinds[a] == 1:
-                    for w, c in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
-                        if c:
-                            if (x := logs.get(c)) is None:
-                                x = logs[c] = log(c)
-                            base[w] = x
-                else:
-                    if table is None:
-                        table = Table(np.concatenate(keys), np.concatenate(values))
-                        keys, values = [], []
-                    yield from _scored(part, table, base, log(0), log(ends), ends > 0)
-            if len(logs) > 1_000_000:
-                logs.clear()
-
-    def _scored(part: pa.RecordBatch, table: Table, base: dict[bytes, float], unknown: float, end: float, end_known: bool) -> Iterator[pa.RecordBatch]:
+                if kinds[a] != TEXT:
+                    got[kinds[a]].append((part.column("key").to_numpy(zero_copy_only=False).astype(np.uint64), part.column("value").to_numpy(zero_copy_only=False)))
+                    continue
+                if tables is None:
+                    tables = [Table(np.concatenate([np.empty(0, np.uint64), *(x for x, _ in got[k])]), np.concatenate([np.empty(0), *(x for _, x in got[k])])) for k in (GRAM, WORD)]
+                    got = {}
+                yield from _scored(part, *tables)
+
+    def _scored(part: pa.RecordBatch, table: Table, counted: Table) -> Iterator[pa.RecordBatch]:
         raws = [t.encode() for t in part.column("text").to_pylist()]
         tokens, known, base_scores, scores = [], [], [], []
         group, held = [], 0
+        scale = np.log10(n + v + 1)
         for i, raw in enumerate(raws):
-            words = raw.lower().split()
-            found = [x for x in map(base.get, words) if x is not None]
-            tokens.append(len(words) + 1)
-            known.append(len(found) + end_known)
-            base_scores.append(sum(found) + unknown * (len(words) - len(found)) + end)
             group.append(raw)
             held += len(raw)
             if held > PIECE or i + 1 == len(raws):
                 keys, sizes = keys_of(group, order)
                 scores += np.add.reduceat(table.get(keys), np.concatenate(([0], np.cumsum(sizes)[:-1]))).tolist()
+                words = [np.append(words_of(r), np.uint64(0)) for r in group]  # the last stands for the end
+                c = counted.get(np.concatenate(words)) if len(counted.keys) else np.zeros(sum(map(len, words)))
+                m = np.array([len(w) for w in words])
+                starts = np.concatenate(([0], np.cumsum(m)[:-1]))
+                c[starts + m - 1] = ends
+                tokens += m.tolist()
+                known += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
+                base_scores += np.add.reduceat(np.log10(c + 1) - scale, starts).tolist()
                 group, held = [], 0
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(raws), pa.int64()), pa.array(base_scores, pa.float64()), pa.array(scores, pa.float64())],
