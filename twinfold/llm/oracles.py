@@ -1,7 +1,89 @@
-"""DuckDB SQL for those production queries that SQL can express."""
+"""DuckDB SQL for those production queries that SQL can express in reasonable time on whole tables.
+
+None is given for byte-pair encodings (2, 3, 10), PPM (4), span offsets (6), the greedy hash-ordered mix (7) and the trained
+classifier (8); tests/llm compares these with brute-force versions.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers  # noqa: F401
+from .quality import RULES, STOP_WORDS
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = """
+WITH e AS (
+    SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+    WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) / (q.len * c.len) AS score
+    FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_METRICS = {
+    "mean_word_length": "coalesce(word_chars / nullif(n_words, 0), 0)",
+    "symbols_per_word": "coalesce(n_symbols / nullif(n_words, 0), 0)",
+    "n_stop_words": "n_stop",
+    "dup_line_ratio": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)",
+    "bullet_line_ratio": "coalesce(n_bullets / nullif(n_lines, 0), 0)",
+    "ellipsis_line_ratio": "coalesce(n_ellipses / nullif(n_lines, 0), 0)",
+    "exclamations_per_word": "coalesce(n_exclamations / nullif(n_words, 0), 0)",
+}
+
+
+def _fails(metric: str, least: float | None, most: float | None) -> str:
+    tests = [f"{_METRICS[metric]} < {least}"] * (least is not None) + [f"{_METRICS[metric]} > {most}"] * (most is not None)
+    return " OR ".join(tests)
+
+
+_FAILED = ", ".join(f"CASE WHEN {_fails(metric, least, most)} THEN '{name}' END" for name, metric, least, most in RULES)
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+OP5 = rf"""
+WITH d AS (
+    SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), g AS (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) AS x FROM d WHERE len(w) >= 3
+), r AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest([x.i, x.i + 1, x.i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x.g) AS k FROM g) WHERE k > 1
+    ) GROUP BY doc_id
+), m AS (
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclamations,
+        len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipses,
+        len(list_distinct(list_filter(w, lambda x: list_contains([{_STOPS}], x)))) AS n_stop
+    FROM d LEFT JOIN r USING (doc_id)
+), v AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {_FAILED}) AS failed_rules FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+"""
+
+OP9 = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), k AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), e AS (
+    SELECT a, b FROM k UNION ALL SELECT b, a FROM k
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_nearest": OP1, "op5_quality_rules": OP5, "op9_near_duplicates": OP9}
