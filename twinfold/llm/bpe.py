@@ -33,7 +33,7 @@ from .token_count import count_symbols
 
 LONG = 200
 #: Entries of the two memos, and bytes of new words in one query.
-ENCODED, DECODED, CHUNK = 1_400_000, 900_000, 400_000
+ENCODED, DECODED, CHUNK = 700_000, 450_000, 400_000
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, token, done) AS (
