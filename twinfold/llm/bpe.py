@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Bounded, texts
+from .common import claim, texts
 from .token_count import count_symbols
 
 LONG = 200
 #: Entries of the two memos, and bytes of new words in one query.
-ENCODED, DECODED, CHUNK = 700_000, 450_000, 400_000
+ENCODED, DECODED, CHUNK = 800_000, 600_000, 400_000
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, token, done) AS (
@@ -50,7 +50,8 @@ WITH RECURSIVE step(word, pos, token, done) AS (
     )
     WHERE best IS NULL OR before IS DISTINCT FROM best & 4294967295
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
+FROM step JOIN vocabulary USING (token) WHERE done GROUP BY word ORDER BY word
 """
 
 _DECODE = """
@@ -60,6 +61,17 @@ GROUP BY part ORDER BY part
 """
 
 
+class Memo:
+    """Two generations of entries, each of at most ``most``: when the newer one is full it becomes the older, and entries in use move on."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def room(self, n: int) -> None:
+        if len(self.now) + n > self.most:
+            self.now, self.old = {}, self.now
+
+
 class Codec:
     """Encoder and decoder for a rank file; memos and database are bounded."""
 
@@ -80,20 +92,21 @@ class Codec:
         self.closes = np.array([b is not None and b.isascii() and not any(c.isalnum() for c in b.decode()) for b in self.bytes_of])
         pairs = [(left, right, i) for b, i in ranks.items() for k in range(1, len(b)) if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "max_temp_directory_size": "0KB"})
-        for name, columns in (("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True))), ("vocabulary", {"token": list(ranks.values()), "hex": [b.hex() for b in ranks]})):
-            self.db.register("made", pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int32()) for k, v in columns.items()}))
+        for name, columns in (("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True))), ("vocabulary", {"token": list(ranks.values()), "digits": list(map(str, ranks.values())), "hex": [b.hex() for b in ranks]})):
+            self.db.register("made", pa.table({k: pa.array(v, pa.string() if k in ("hex", "digits") else pa.int32()) for k, v in columns.items()}))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM made")
             self.db.unregister("made")
-        self.encoded, self.decoded = Bounded(encoded), Bounded(decoded)
+        self.encoded, self.decoded = Memo(encoded), Memo(decoded)
 
-    def _query(self, name: str, rows: pa.Table, query: str) -> pa.Array:
+    def _query(self, name: str, rows: pa.Table, query: str) -> list[list[str]]:
         self.db.register(name, rows)
         try:
-            return self.db.sql(query).to_arrow_table().column(1).combine_chunks()
+            return [c.to_pylist() for c in self.db.sql(query).to_arrow_table().columns[1:]]
         finally:
             self.db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
+    def _contract(self, words: list[bytes]) -> list[list[str]]:
+        """Identifiers in decimal, and decoded bytes in hexadecimal, of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         rows = {
@@ -101,28 +114,28 @@ class Codec:
             "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32),
             "token": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
         }
-        ids = self._query("symbols", pa.table(rows), _ENCODE)
-        at, flat = 4 * ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4").tobytes()
-        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return self._query("symbols", pa.table(rows), _ENCODE)
 
     def _merge_long(self, word: bytes) -> bytes:
         rank = {b.decode("latin-1"): i for b, i in self.ranks.items()}
         rest = count_symbols([chr(b) for b in word], rank)[1]
-        return np.array([rank[x] for x in rest], "<i4").tobytes()
+        return b" ".join(b"%d" % rank[x] for x in rest)
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that the memo lacks."""
-        memo, chunk, size = self.encoded, [], 0
+        memo, chunk, size = self.encoded.now, [], 0
 
         def flush() -> None:
-            for (w, _), ids in zip(chunk, self._contract([b for _, b in chunk]), strict=True):
-                memo[w] = ids
+            self.decoded.room(len(chunk))
+            for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk]), strict=True):
+                memo[w] = ids = ids.encode()
+                self.decoded.now[ids] = bytes.fromhex(hex_)
             chunk.clear()
 
         for w in words:
             b = w.encode()
             if (i := self.ranks.get(b)) is not None:
-                memo[w] = i.to_bytes(4, "little")
+                memo[w] = b"%d" % i
             elif len(b) > LONG:
                 memo[w] = self._merge_long(b)
             else:
@@ -135,45 +148,47 @@ class Codec:
             flush()
 
     @staticmethod
-    def _looked_up(rows: list[list], memo: Bounded, learn: Callable[[list], None]) -> list[list[bytes]]:
+    def _looked_up(rows: list[list], memo: Memo, learn: Callable[[list], None]) -> list[list[bytes]]:
         """The memo entries of each row's items; ``learn`` is called once with the items that the memo lacks."""
-        found = [list(map(memo.get, row)) for row in rows]
+        found = [list(map(memo.now.get, row)) for row in rows]
         lacking = [list(compress(row, map(not_, values))) for row, values in zip(rows, found, strict=True)]
         missing = set().union(*lacking)
-        if len(memo) + len(missing) > memo.most:
-            memo.clear()  # the values found are held already
-        learn(list(missing))
+        memo.room(len(missing))  # the values found are held already
+        again = {x: v for x in missing if (v := memo.old.get(x)) is not None}
+        memo.now.update(again)
+        learn([x for x in missing if x not in again])
         for values, some in zip(found, lacking, strict=True):
             at = -1
             for x in some:
                 at = values.index(None, at + 1)
-                values[at] = memo[x]
+                values[at] = memo.now[x]
         return found
 
     def encode_words(self, batch: list[str]) -> list[list[bytes]]:
-        """For each text the identifiers of each of its words, as little-endian 32-bit integers."""
+        """For each text the identifiers of each of its words, in decimal, joined by spaces."""
         return self._looked_up([self.split(t) for t in batch], self.encoded, self.learn)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """The identifiers of each text."""
-        return [np.frombuffer(b"".join(words), "<i4") for words in self.encode_words(batch)]
+        return [np.array(b" ".join(words).split(), np.int32) for words in self.encode_words(batch)]
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         for k in range(0, len(parts), 50_000):
             some = parts[k : k + 50_000]
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) // 4
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(some), "<i4")))
-            out = self._query("parts", pa.table({"part": pa.array(range(len(some)), pa.int32()), "ids": ids}), _DECODE).to_pylist()
-            self.decoded.update(zip(some, map(bytes.fromhex, out), strict=True))
+            ids = pa.array([list(map(int, x.split())) for x in some], pa.list_(pa.int32()))
+            (out,) = self._query("parts", pa.table({"part": pa.array(range(len(some)), pa.int32()), "ids": ids}), _DECODE)
+            if len(out) != len(some):
+                raise ValueError("an identifier is not in the vocabulary")
+            self.decoded.now.update(zip(some, map(bytes.fromhex, out), strict=True))
 
     def decode(self, batch: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of identifiers."""
         parts: list[list[bytes]] = []
         for ids in batch:
-            raw = ids.astype("<i4", copy=False).tobytes()
             alone = self.closes[ids]
-            cuts = (4 * np.flatnonzero(self.opens[ids[1:]] | alone[1:] | alone[:-1]) + 4).tolist()
-            parts.append(list(map(raw.__getitem__, map(slice, [0, *cuts], [*cuts, len(raw)]))) if raw else [])
+            cuts = (np.flatnonzero(self.opens[ids[1:]] | alone[1:] | alone[:-1]) + 1).tolist()
+            digits = list(map(self.digits.__getitem__, ids.tolist()))
+            parts.append([" ".join(digits[a:b]).encode() for a, b in zip([0, *cuts], [*cuts, len(digits)], strict=True)] if digits else [])
         return self.decode_parts(parts)
 
     def decode_parts(self, batch: list[list[bytes]]) -> list[bytes]:
@@ -186,6 +201,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One for each vocabulary and worker process."""
+    claim("bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
@@ -242,11 +258,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 gc.disable()  # millions of small objects and no cycles among them
                 c = codec(path, pattern)
                 encoded = c.encode_words(group)
-                of = c.digits.__getitem__
                 for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
-                    ids = np.frombuffer(b"".join(words), "<i4").tolist()
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(of, ids)).encode()).hexdigest())
+                    ids = b" ".join(words)
+                    n.append(ids.count(b" ") + bool(ids))
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(raw).hexdigest())
                 gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

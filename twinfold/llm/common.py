@@ -74,3 +74,14 @@ class Bounded(dict):
     def room(self, n: int) -> None:
         if len(self) + n > self.most:
             self.clear()
+
+
+_owner: list = [None, None]
+
+
+def claim(name: str, clear=None) -> None:
+    """Called by an operator in a Python worker, which Spark uses again for other operators: drops what the one before has kept there."""
+    if _owner[0] != name:
+        if _owner[1]:
+            _owner[1]()
+        _owner[:] = [name, clear]

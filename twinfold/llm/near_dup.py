@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import claim, stage, texts
 from .graph import components
 
 #: Words of a shingle, registers of a sketch, bands (from the first registers) and registers of a band.
@@ -117,6 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        claim("near_dup")
         for batch in batches:
             n, node, regs, keys = [], [], [], []
             for t in batch.column("text").to_pylist():

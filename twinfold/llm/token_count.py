@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Bounded, texts
+from .common import Bounded, claim, texts
 
 SPACE = "▁"
 MEMO = 600_000
@@ -181,6 +181,7 @@ _counters: dict[str, PieceCounter | ByteCounter] = {}
 
 def counter(path: str) -> PieceCounter | ByteCounter:
     """The counter of a vocabulary file, one for each worker process."""
+    claim("token_count", _counters.clear)
     if path not in _counters:
         _counters[path] = (PieceCounter if path.endswith(".model") else ByteCounter)(path)
     return _counters[path]
