@@ -23,7 +23,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/twinfold-{uuid.uuid4().hex}/tokens"
     token_file.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
-    return token_file.read_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_file.read_token_files(spark, out, with_ids=False)
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

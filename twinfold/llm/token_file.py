@@ -16,9 +16,12 @@ columns besides ``doc_id`` and ``text`` are ignored whatever their names.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +163,7 @@ class LibraryEncoder:
                     k.pop(0)
         memo = self.memo
         found = [k and list(map(memo.get, k)) for k in keys]
-        lacking = [k and [x for x, v in zip(k, values, strict=True) if v is None] for k, values in zip(keys, found, strict=True)]
+        lacking = [k and list(compress(k, map(not_, values))) for k, values in zip(keys, found, strict=True)]
         missing = set().union(*(x for x in lacking if x))
         memo.room(len(missing))
         self._learn(list(missing))
@@ -206,7 +209,10 @@ def token_blocks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(rows), 500):
-                for name, raw in zip(names[k : k + 500], enc.encode(rows[k : k + 500]), strict=True):
+                gc.disable()  # many small objects and no cycles among them
+                encoded = enc.encode(rows[k : k + 500])
+                gc.enable()
+                for name, raw in zip(names[k : k + 500], encoded, strict=True):
                     one = np.frombuffer(raw + end, "<u4")
                     doc_ids.append(name)
                     ids.append(one)
@@ -226,8 +232,8 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0) ->
     token_blocks(docs, path, end_id).write.parquet(out)
 
 
-def read_token_files(spark: SparkSession, where: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` of each document, decoded from the blocks.
+def read_token_files(spark: SparkSession, where: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids`` of each document, decoded from the blocks.
 
     ``start`` counts the ids of all documents before. The driver sums ids by file: as many numbers as the writer had partitions.
     """
@@ -243,9 +249,9 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
                 ids, ef, before = unpack_block(payload.as_py())
                 at, wide = ef.all(), ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [names.values, pa.array(at[:-1] + (starts[file.as_py()] + before), pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(wide.astype(np.int32)))],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [names.values, pa.array(at[:-1] + (starts[file.as_py()] + before), pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(wide.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return blocks.select("file", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return blocks.select("file", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
