@@ -12,7 +12,7 @@ ROWS = [
     (6, "one TWO", "de", "s2", 7),
     (None, "Alpha beta gamma delta epsilon\nAlpha beta gamma delta epsilon", "en", "s3", 5),
     (7, LONG, "en", "s1", len(LONG)),
-    (8, "Größe 😀 <|endoftext|> <s> a@b.co +1 (017) 555-7713 10.0.0.1 4111 1111 1111 1111", "en", "s1", 9),
+    (8, "Größe 😀 <|endoftext|> <s> a@b.co, +1 (017) 555-7713, 10.0.0.1, 4111 1111 1111 1111", "en", "s1", 9),
     (9, "a b\r\n\r\n  c　d", "en", "s1", 9),
 ]
 

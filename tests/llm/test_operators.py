@@ -262,15 +262,17 @@ def test_min_cost_flow():
 def test_mix(docs, odd, empty):
     a, b = (sorted(map(tuple, mixing.mix(docs).collect())) for _ in range(2))
     assert a == b
-    by = defaultdict(lambda: [0, 0, 0.0])
+    by = defaultdict(lambda: [0, 0, 0.0, 0])
     for _, size, source_size, target, taken, source in a:
         assert taken % max(1, size) == 0 and taken <= 3 * size
         by[source][0] += size
         by[source][1] += taken
-        by[source][2] = target
+        by[source][2:] = target, max(by[source][3], size)
         assert source_size > 0
     assert math.isclose(sum(x[2] for x in by.values()), sum(x[0] for x in by.values()))
-    assert all(abs(taken - target) <= 0.02 * target for _, taken, target in by.values())
+    # Whole documents are taken, so a source of 50 documents may lack less than one of them; on average it is far closer.
+    assert all(abs(taken - target) < largest for _, taken, target, largest in by.values())
+    assert sum(abs(taken - target) / target for _, taken, target, _ in by.values()) / len(by) < 0.02
     rows = mixing.mix(odd).collect()
     assert len(rows) == 11 and len({r.taken for r in rows if r.doc_id == 1}) == 1
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
