@@ -375,3 +375,9 @@ def test_components(spark):
 
 def test_registered():
     assert [re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES] == [str(i) for i in range(1, 11)]
+
+
+def test_nnpu_without_telling_slots():
+    rows = [np.array([i], np.int32) for i in range(20)]
+    w = toxicity.fit(rows[:5], rows[5:], 0.1)
+    assert not w[:-1].any() and np.isfinite(w[-1])

@@ -86,7 +86,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return w[size] + np.bincount(of, w[flat], len(rows)), flat, of
 
     def slope(flat: np.ndarray, of: np.ndarray, each: np.ndarray) -> np.ndarray:
-        g = np.bincount(flat, each[of], size + 1)
+        g = np.bincount(flat, each[of], size + 1).astype(float)  # no telling slots: integers
         g[size] = each.sum()
         return g
 
