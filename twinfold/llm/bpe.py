@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB recursive queries, one in-memory database per worker.
 
-Encoding: the pattern splits a text into words. The bytes of the words that are not yet known become token-position rows (word, position,
-token). A recursive query joins adjacent tokens with the merge table (left, right, rank), contracts each word's leftmost pair of minimum
-rank, and repeats until no word has a pair left. Merge ranks are those of the concatenated bytes, as for rank files.
+Encoding: the pattern splits a text into words. Each word that is not yet known holds its tokens, at first its bytes, in a list. A recursive query
+unnests the lists to token-position rows, joins adjacent tokens with the merge table (left, right, rank), contracts each word's leftmost pair of
+minimum rank, and repeats until no word has a pair left. The minimum is a hash aggregate, so no step sorts. Merge ranks are those of the concatenated bytes, as for rank files.
 
 Decoding: a query joins (sequence, position, token) rows with the vocabulary and aggregates the tokens' bytes in
 order of position. A sequence of identifiers is first cut into parts at white space and punctuation (decoding is the concatenation of its
@@ -36,22 +36,23 @@ LONG = 200
 ENCODED, DECODED, CHUNK = 800_000, 600_000, 400_000
 
 _ENCODE = """
-WITH RECURSIVE step(word, pos, token, done) AS (
-    SELECT word, pos, token, false FROM symbols
+WITH RECURSIVE step(word, tokens, done) AS (
+    SELECT word, tokens, false FROM symbols
     UNION ALL
-    SELECT word, pos, CASE WHEN pair = best THEN rank ELSE token END, best IS NULL
-    FROM (
-        SELECT *, min(pair) OVER (PARTITION BY word) AS best
-        FROM (
-            SELECT s.word, s.pos, s.token, s.before, m.rank, (m.rank::BIGINT << 32) | s.pos AS pair
-            FROM (SELECT word, pos, token, lead(token) OVER w AS after, lag(pos) OVER w AS before FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-            LEFT JOIN merges m ON m.l = s.token AND m.r = s.after
-        )
-    )
-    WHERE best IS NULL OR before IS DISTINCT FROM best & 4294967295
+    SELECT
+        word,
+        CASE WHEN best IS NULL THEN tokens ELSE list_concat(tokens[:(best & 4294967295) - 1], [(best >> 32)::INTEGER], tokens[(best & 4294967295) + 2:]) END,
+        best IS NULL
+    FROM (SELECT * FROM step WHERE NOT done) LEFT JOIN (
+        SELECT word, min((m.rank::BIGINT << 32) | s.pos) AS best
+        FROM (SELECT word, unnest(range(1, len(tokens))) AS pos, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r FROM step WHERE NOT done) s
+        JOIN merges m USING (l, r)
+        GROUP BY word
+    ) USING (word)
 )
 SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM step JOIN vocabulary USING (token) WHERE done GROUP BY word ORDER BY word
+FROM (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step WHERE done) JOIN vocabulary USING (token)
+GROUP BY word ORDER BY word
 """
 
 _DECODE = """
@@ -107,13 +108,9 @@ class Codec:
 
     def _contract(self, words: list[bytes]) -> list[list[str]]:
         """Identifiers in decimal, and decoded bytes in hexadecimal, of each word."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        rows = {
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32),
-            "token": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
-        }
+        ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)))
+        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+        rows = {"word": pa.array(range(len(words)), pa.int32()), "tokens": tokens}
         return self._query("symbols", pa.table(rows), _ENCODE)
 
     def _merge_long(self, word: bytes) -> bytes:
