@@ -12,6 +12,10 @@ from twinfold.llm import bpe, mixing, near_dup, pii, quality
 from twinfold.llm.common import stage, table
 
 
+#: Words kept by a tokens worker; fewer than bpe.ENCODED, as executors still hold the memory of the stages before.
+MEMO = 200_000
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all quality rules."""
     return quality.keep_good(docs)
@@ -34,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each taken document."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, MEMO)
 
 
 STAGES = [("quality rules", rules), ("near-duplicates", one_of_each), ("personal data", private), ("mixing", mixture), ("tokens", tokens)]

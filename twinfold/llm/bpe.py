@@ -33,7 +33,7 @@ from .token_count import count_symbols
 
 LONG = 200
 #: Entries of the two memos, and bytes of new words in one query.
-ENCODED, DECODED, CHUNK = 800_000, 600_000, 400_000
+ENCODED, DECODED, CHUNK = 800_000, 600_000, 100_000
 
 _ENCODE = """
 WITH RECURSIVE step(word, tokens, done) AS (
@@ -193,18 +193,19 @@ class Codec:
         return [b"".join(x) for x in self._looked_up(batch, self.decoded, self._learn_parts)]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int = ENCODED) -> Codec:
     """One for each vocabulary and worker process."""
     claim("bpe", _codecs.clear)
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    key = path, pattern, memo
+    if key not in _codecs:
+        _codecs[key] = Codec(path, pattern, memo, memo * DECODED // ENCODED)
+    return _codecs[key]
 
 
-def _groups(rows: list, size: int = 4_000_000) -> Iterator[list]:
+def _groups(rows: list, size: int = 2_000_000) -> Iterator[list]:
     """Runs of rows of about ``size`` characters or identifiers, to bound what is held at once."""
     group, n = [], 0
     for r in rows:
@@ -245,15 +246,18 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes in one pass, so identifiers never leave the worker."""
+def digests(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes in one pass, so identifiers never leave the worker.
+
+    ``memo`` bounds the words that a worker keeps, which changes time and memory and never the result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for group in _groups(batch.column("text").to_pylist()):
                 gc.disable()  # millions of small objects and no cycles among them
-                c = codec(path, pattern)
+                c = codec(path, pattern, memo)
                 encoded = c.encode_words(group)
                 for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
                     ids = b" ".join(words)

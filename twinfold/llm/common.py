@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +79,17 @@ class Bounded(dict):
             self.clear()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker that waits for its next task would hold it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _owner: list = [None, None]
 
 
@@ -85,3 +99,16 @@ def claim(name: str, clear=None) -> None:
         if _owner[1]:
             _owner[1]()
         _owner[:] = [name, clear]
+        gc.collect()
+        trim()
+
+
+def trimmed(run):
+    """``run``, a function from batches to batches, with ``trim`` after its last one."""
+
+    @functools.wraps(run)
+    def whole(*args):
+        yield from run(*args)
+        trim()
+
+    return whole

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, stage, texts
+from .common import claim, stage, texts, trimmed
 from .graph import components
 
 #: Words of a shingle, registers of a sketch, bands (from the first registers) and registers of a band.
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         x.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "node", "regs", "bands"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, node long, regs binary, bands array<long>")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, node long, regs binary, bands array<long>")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["node", "items"])
 
     # A doc_id may stand for other texts too: only wanted nodes stay.
-    return stage(rows.mapInArrow(run, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
+    return stage(rows.mapInArrow(trimmed(run), "node long, items array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 est = np.array([estimate(e, int(n), [m])[0] for e, n, m in zip(equal, batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)])
                 yield batch.select(["a", "b"]).filter(pa.array(est >= CUT))
 
-    return rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _across(keyed: DataFrame, comp: DataFrame, nodes: DataFrame, spots: DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "spot"])
 
-    return dealt.mapInArrow(run, "node long, spot long").distinct()
+    return dealt.mapInArrow(trimmed(run), "node long, spot long").distinct()
 
 
 def _like(comps: np.ndarray, sizes: np.ndarray, component: int, n: int) -> np.ndarray:
@@ -263,7 +263,7 @@ def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: Dat
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return dealt.select("spot", "kind", "node", "component", "items").mapInArrow(run, "a long, b long")
+    return dealt.select("spot", "kind", "node", "component", "items").mapInArrow(trimmed(run), "a long, b long")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
