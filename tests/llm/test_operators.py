@@ -301,6 +301,15 @@ def test_toxicity_held_out(spark, docs, odd, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_found_in_each_language(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = toxicity.score(d, labels).filter("held_out").join(labels.filter("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").join(d.select("doc_id", "lang"), "doc_id").toPandas()
+    found = m[m.toxic == 1].groupby("lang").predicted.mean()
+    assert all(found[x] >= least for x, least in (("en", 0.8), ("fr", 0.8), ("de", 0.6), ("es", 0.3)))
+    assert m[m.toxic == 1].predicted.mean() > 0.8 and m[m.toxic == 0].predicted.mean() < 0.01
+
+
 def test_nnpu_finds_the_word():
     rng = np.random.default_rng(0)
     noise = lambda: np.unique(rng.integers(100, 5000, 40)).astype(np.int32)
