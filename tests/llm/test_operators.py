@@ -356,6 +356,19 @@ def test_near_duplicates_of_one_text(spark):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_with_low_estimates(spark):
+    """Pairs of similarity 0.8 that share a band, and whose registers agree by chance in less than 0.71."""
+    rows = {}
+    for i, seed in enumerate((864, 975, 3276, 5078)):
+        w = [f"{seed}w{k}" for k in range(48)]
+        rows[2 * i], rows[2 * i + 1] = " ".join(w), " ".join(w[:43] + [f"{seed}x{k}" for k in range(5)])
+        x, y = (near_dup.registers(near_dup.shingles(rows[2 * i + k])) for k in range(2))
+        assert near_dup.estimate(np.array([(x == y).sum()]), 45, [45])[0] < 0.71 and set(near_dup.bands(x)) & set(near_dup.bands(y))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == brute_groups(rows) and {c for _, c in got.values()} == {0, 2, 4, 6}
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = sorted(map(tuple, near_dup.near_duplicates(odd).collect()), key=str)
     by = {r[0]: r for r in rows}
