@@ -279,6 +279,34 @@ def test_mix(docs, odd, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.001"])
+def test_mix_meets_each_target(spark, sf):
+    rows = mixing.mix(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        assert r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    # At sf0.001 a source has 10 documents; src5 stays 109 of 2027 words short, as no single document with copies left fits.
+    open_ = {"src5"} if sf == "0.001" else set()
+    assert all(abs(taken[s] - t) < 0.02 * t for s, t in target.items() if s not in open_)
+
+
+def test_mix_with_one_large_document(spark):
+    """Targets from few words to nearly thrice the source; the large document is at the edge of some of them."""
+    sizes = [60000] + [50 + 7 * i % 101 for i in range(200)]
+    d = spark.createDataFrame([(i, s, n) for s in range(12) for i, n in enumerate(sizes, 1000 * s)], "id long, of long, words long").withColumn("of", F.array(F.format_string("s%02d", "of")))
+    took, sources = mixing.plan(d, F.col("of"), F.col("words"), F.col("id"), weight=lambda i: 1.0 + i)
+    rows = took.collect()
+    assert max(len(r.copies) for r in rows) <= 3
+    n = Counter()
+    for r in rows:
+        for s in r.copies:
+            n[s] += r["size"]
+    off = {r.position: abs(n[r.position] - r.target) / r.target for r in sources.collect()}
+    assert len(off) == 12 and max(off.values()) < 0.02, off
+
+
 def test_overlapping_sources(spark):
     d = spark.createDataFrame([(i, ["a"] if i < 50 else ["a", "b"], 10) for i in range(100)], "id long, of array<string>, words long")
     took, _ = mixing.plan(d, F.col("of"), F.col("words"), F.col("id"), weight=lambda i: 1.0)

@@ -3,7 +3,9 @@
 Documents are aggregated by membership pattern, the set of sources that they belong to. Each pattern offers its words up to ``copies`` times; the r-th
 time costs r - 1, so costs are convex and repeats are used only when needed. A min-cost flow routes this capacity to the sources' quotas. Each flow then
 becomes an interval of the pattern's documents in the order of a seeded hash; the interval's ends are found by
-refining histograms of the hash, eight bits at a time, so no group of documents is ever sorted or collected.
+refining histograms of the hash, eight bits at a time, so no group of documents is ever sorted or collected. What the document at the edge of
+an interval leaves open is filled from documents behind it and then from further copies, until no document with copies left fits. The same is done with the
+edge document taken and others left out for it; of both ways the one nearer to the target stays.
 
 Only the patterns, their flows and 256 sums for each pattern with a divided flow reach the driver; ``MAX_PATTERNS`` bounds them.
 
@@ -26,8 +28,6 @@ from .common import WORD, stage
 COPIES = 3
 MAX_PATTERNS = 4096
 BITS = 32
-#: Passes that fill what documents at the edge of an interval leave open.
-FILLS = 2
 
 
 def default_weight(position: int) -> float:
@@ -122,21 +122,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _cuts(docs: DataFrame, want: dict[tuple, tuple[int, int, int, int]]) -> dict[tuple, tuple[int, int]]:
-    """For each key (pattern, low, limit, words) an end ``high`` and the words left over.
+def _cuts(docs: DataFrame, want: dict[tuple, tuple[int, int, int, int, int]]) -> dict[tuple, tuple[int, int]]:
+    """For each key (pattern, low, limit, words, skip) an end ``high`` and the words left over.
 
-    The pattern's documents of at most ``limit`` words with ``low <= hash < high`` have ``words`` less that rest, and those of the next hash
+    The pattern's documents of at most ``limit`` words, without those of hash ``skip``, with ``low <= hash < high`` have ``words`` less that rest, and those of the next hash
     value would have more. Four passes over histograms with 256 sums for each key; ``docs``: pattern, hash, size.
     """
     order = list(want)
     prefix, left, done = [0] * len(order), [want[k][3] for k in order], {}
     for shift in range(BITS - 8, -1, -8):
-        keys = [(i, want[k][0], prefix[i], want[k][1], want[k][2]) for i, k in enumerate(order) if i not in done]
+        keys = [(i, want[k][0], prefix[i], want[k][1], want[k][2], want[k][4]) for i, k in enumerate(order) if i not in done]
         if not keys:
             break
         # at most MAX_PATTERNS * copies rows and their inner edges
-        small = F.broadcast(docs.sparkSession.createDataFrame(keys, "i int, pattern int, prefix long, low long, most long"))
-        rows = docs.join(small, "pattern").filter((F.shiftright("hash", shift + 8) == F.col("prefix")) & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0))
+        small = F.broadcast(docs.sparkSession.createDataFrame(keys, "i int, pattern int, prefix long, low long, most long, skip long"))
+        rows = docs.join(small, "pattern").filter((F.shiftright("hash", shift + 8) == F.col("prefix")) & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0) & (F.col("hash") != F.col("skip")))
         sums: dict[int, dict[int, int]] = {}
         for r in rows.groupBy("i", F.shiftright("hash", shift).bitwiseAND(255).alias("b")).agg(F.sum("size").alias("n")).collect():
             sums.setdefault(r["i"], {})[r["b"]] = r["n"]
@@ -152,6 +152,31 @@ def _cuts(docs: DataFrame, want: dict[tuple, tuple[int, int, int, int]]) -> dict
     return {k: (done.get(i, prefix[i]), left[i]) for i, k in enumerate(order)}
 
 
+def _around(low: int, high: int, skip: int) -> list[tuple[int, int]]:
+    return [(low, skip), (skip + 1, high)] if low <= skip < high else [(low, high)]
+
+
+def _filled(docs: DataFrame, tries: dict[tuple, dict], least: list[int], copies: int) -> None:
+    """Fills each try's ``rest`` until no document of its pattern fits that has copies left; intervals are added to its ``parts``.
+
+    A try goes on at ``low`` of copy ``level`` with documents of at most ``most`` words, never with those of hash ``skip``. The rest shrinks or ``low``
+    grows with each pass, and each copy takes a document once.
+    """
+    while True:
+        want = {}
+        for k, t in tries.items():
+            most = min(t["rest"], t["most"])
+            if t["level"] < copies and t["rest"] >= least[t["pattern"]]:
+                want[k] = (t["pattern"], t["low"], most, t["rest"], t["skip"])
+        if not want:
+            return
+        for k, (high, rest) in _cuts(docs, want).items():
+            t = tries[k]
+            t["parts"] += [(t["source"], low, end, want[k][2]) for low, end in _around(t["low"], high, t["skip"])]
+            t["rest"] = rest
+            t["level"], t["low"] = (t["level"] + 1, 0) if high >= 1 << BITS else (t["level"], high + 1)  # what stands at the edge itself does not fit
+
+
 def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Callable[[int], float] = default_weight, copies: int = COPIES, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (its columns, staged) with ``size``, ``pattern`` and ``copies`` (the sources, by position, that take it, once for each copy),
     and the table ``source, position, source_size, target``.
@@ -160,7 +185,7 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
     """
     spark = docs.sparkSession
     base = stage(docs.withColumns({"size": size, "members": F.sort_array(F.array_distinct(members)), "hash": seeded(key, seed)}), "sized")
-    groups = base.groupBy("members").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    groups = base.groupBy("members").agg(F.sum("size").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).limit(MAX_PATTERNS + 1).collect()
     if len(groups) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     names = sorted({s for g in groups for s in g["members"]}, key=lambda s: (s is None, s or ""))
@@ -183,7 +208,7 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
         ends.append((s, words + (ends[-1][1] if ends else 0)))
     hashed = tagged.select("pattern", "hash", "size")
     everything, top = max(supply, default=0), 1 << BITS
-    cut = _cuts(hashed, {(p, x): (p, 0, everything, x) for (p, _), ends in edges.items() for _, x in ends if 0 < x < supply[p]})
+    cut = _cuts(hashed, {(p, x): (p, 0, everything, x, -1) for (p, _), ends in edges.items() for _, x in ends if 0 < x < supply[p]})
     parts: dict[int, list[tuple[int, int, int, int]]] = {p: [] for p in range(len(groups))}
     short = {}
     for (p, r), ends in edges.items():
@@ -194,12 +219,25 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
             low = high
         if rest:
             short[p, r] = (s, high, rest)
-    for _ in range(FILLS):  # what a large document at the edge has left open goes to smaller ones behind it
-        more = _cuts(hashed, {k: (k[0], low, rest, rest) for k, (_, low, rest) in short.items() if rest})
-        for k, (high, rest) in more.items():
-            s, low, limit = short[k]
-            parts[k[0]].append((s, low, high, limit))
-            short[k] = (s, high, rest)
+    least = [g["least"] or 1 for g in groups]
+    tries = {(p, False): {"pattern": p, "source": s, "level": r, "low": high + 1, "rest": rest, "most": everything, "skip": -1, "parts": parts[p]} for (p, r), (s, high, rest) in short.items()}
+    # The edge document taken: only where the pattern's words all go to one source, so that no other interval moves.
+    alone = {p: (r, *short[p, r]) for p, r in short if len({s for s, *_ in parts[p]}) == 1}
+    if alone:
+        at = F.broadcast(spark.createDataFrame([(p, high) for p, (_, _, high, _) in alone.items()], "pattern int, edge long"))
+        edge = hashed.join(at, "pattern").filter((F.col("hash") == F.col("edge")) & (F.col("size") > 0)).groupBy("pattern").agg(F.sum("size").alias("n"), F.min("size").alias("least"))
+        for e in edge.collect():  # a row for each pattern
+            p = e["pattern"]
+            r, s, high, _ = alone[p]
+            others = supply[p] - e["n"]
+            open_ = r * supply[p] + edges[p, r][-1][1] - (r + 1) * e["n"]
+            level = min(copies, max(0, open_) // others) if others else copies  # whole copies of the others
+            whole = [(s, high, high + 1, everything)] * (r + 1) + [(s, x, y, everything) for x, y in _around(0, top, high)] * (level if others else 0)
+            tries[p, True] = {"pattern": p, "source": s, "level": level, "low": 0, "rest": open_ - level * others, "most": everything, "skip": high, "parts": whole}
+    _filled(hashed, tries, least, copies)
+    for p in alone:
+        if (p, True) in tries and abs(tries[p, True]["rest"]) < tries[p, False]["rest"]:
+            parts[p] = tries[p, True]["parts"]
     table = spark.createDataFrame(list(parts.items()), "pattern int, parts array<struct<source:int,low:long,high:long,most:long>>")
     took = tagged.join(F.broadcast(table), "pattern").withColumn("copies", F.transform(F.filter("parts", lambda x: (x["low"] <= F.col("hash")) & (F.col("hash") < x["high"]) & (F.col("size") <= x["most"])), lambda x: x["source"]))
     sources = spark.createDataFrame([(s, i, sizes[i], goal[i]) for i, s in enumerate(names)], "source string, position int, source_size long, target double")
