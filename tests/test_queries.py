@@ -25,8 +25,3 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_hash_is_computed_after_the_size_filter(spark, sf_dir):
-    """The digest stands above the semi-join in the plan, and contents are not shuffled."""
-    df = engine.sets(spark, sf_dir)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("md5(") < plan.index("LeftSemi")

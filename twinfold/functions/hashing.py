@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.functions.paths import raw_of
 from twinfold.model import ALGORITHMS
 
 #: Fixed value: the long whose XXH64 under Spark's seed 42 is 1; chaining it makes the seed of the next column 1.
 SEED_ONE = -7682426122119481604
 READ = 1 << 20
+#: Files whose digests are sent on at once.
+FILES = 1000
 
 
 def check_alg(alg: str) -> str:
@@ -47,11 +50,12 @@ def _hasher(alg: str):
     return hashlib.new(alg)
 
 
-def file_digest(path: str, alg: str, size: int | None = None, most: int | None = None) -> bytes | None:
-    """Of a file on disk, read in pieces, or its first ``most`` bytes; None if it cannot be read or is shorter than ``size``."""
+def file_digest(path: str, alg: str, size: int | None = None, most: int | None = None, skip: int = 0) -> bytes | None:
+    """Of a file on disk, read in pieces, or of ``most`` bytes after the first ``skip``; None if it cannot be read or is shorter than ``size``."""
     h, left, total = _hasher(alg), most, 0
     try:
-        with open(path, "rb") as f:
+        with open(raw_of(path), "rb") as f:
+            f.seek(skip)
             while left is None or left > 0:
                 piece = f.read(READ if left is None else min(READ, left))
                 if not piece:
@@ -61,18 +65,21 @@ def file_digest(path: str, alg: str, size: int | None = None, most: int | None =
                 left = None if left is None else left - len(piece)
     except OSError:
         return None
-    if size is not None and total < (size if most is None else min(size, most)):
+    if size is not None and total < min(max(0, size - skip), size if most is None else most):
         return None
     return h.digest()[::-1] if alg == "xxhash" else h.digest()
 
 
-def hash_files(files: DataFrame, alg: str, most: int | None = None) -> DataFrame:
+def hash_files(files: DataFrame, alg: str, most: int | None = None, skip: int = 0) -> DataFrame:
     """``files`` (path and size at least) with ``hash`` of what is on disk; every executor must see the paths."""
     check_alg(alg)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(hash=[file_digest(p, alg, s, most) for p, s in zip(b["path"], b["size"], strict=True)])
+            for k in range(0, b.num_rows, FILES):
+                part = b.slice(k, FILES)
+                hashes = [file_digest(p, alg, s, most, skip) for p, s in zip(part.column("path").to_pylist(), part.column("size").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hashes, pa.binary())], [*part.schema.names, "hash"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInPandas(run, f"{fields}, hash binary")
+    return files.mapInArrow(run, f"{fields}, hash binary")

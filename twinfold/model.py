@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 FILES = "root string, path string, dir string, name string, kind string, size long, inode long, dev long, ctime long"
 DUPLICATES = "id long, count int, each_size long, paths array<string>"
+MEMBERS = "id long, each_size long, path string"
 META = "hidden boolean, version string, dbtime long, hardlinks string"
 CACHE = "path string, size long, ctime long, alg string, hash binary"
 

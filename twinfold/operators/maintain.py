@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.hashing import check_alg, file_digest
 from twinfold.functions.paths import shell_quoted
-from twinfold.operators.scan import members
+from twinfold.model import CACHE, Options
+from twinfold.operators.scan import as_sets, members, set_counts, shared
 from twinfold.operators.verify import present
+from twinfold.plans.store import HashCache
 
 
 def refresh(sets: DataFrame, now: DataFrame) -> DataFrame:
-    """Sets without the members that are gone; sets left with one member go. Contents are not looked at."""
+    """Sets (or membership rows, as given) without the members that are gone; sets left with one member go. Contents are not looked at."""
     left = members(sets).join(present(now).select("path"), "path", "left_semi")
-    out = left.groupBy("id", "each_size").agg(F.count("*").cast("int").alias("count"), F.array_sort(F.collect_list("path")).alias("paths"))
-    return out.filter("count > 1").select("id", "count", "each_size", "paths")
+    return as_sets(left) if "paths" in sets.columns else shared(left, "id").select("id", "each_size", "path")
 
 
 def script(sets: DataFrame, link: str | None = None) -> DataFrame:
     """``keeping, path, line``: what a clean-up script says for each set; the first path is kept."""
     if link not in (None, "soft", "hard"):
         raise ValueError("link must be soft, hard or None")
-    kept = F.element_at("paths", 1)
-    one = sets.select(kept.alias("keeping"), F.posexplode("paths").alias("pos", "path"))
+    m = members(sets)
+    one = m.join(set_counts(m).select("id", F.col("first").alias("keeping")), "id")
     remove = F.concat(F.lit("rm "), shell_quoted(F.col("path")))
     if link:
         remove = F.concat(remove, F.lit("\n" + ("ln -s " if link == "soft" else "ln ")), shell_quoted(F.col("keeping")), F.lit(" "), shell_quoted(F.col("path")))
-    return one.select("keeping", "path", F.when(F.col("pos") == 0, F.concat(F.lit("# KEEPING: "), F.col("path"))).otherwise(remove).alias("line"))
+    return one.select("keeping", "path", F.when(F.col("path") == F.col("keeping"), F.concat(F.lit("# KEEPING: "), F.col("path"))).otherwise(remove).alias("line"))
 
 
 BANNER = "#\n# Commands to remove the duplicates listed in the store; the first file of each set is kept.\n# Review before use.\n#"
 
 
 def script_text(sets: DataFrame, link: str | None = None) -> DataFrame:
-    """One ``value`` line group for each set, for ``write.text``."""
-    per = script(sets, link).groupBy("keeping").agg(F.array_sort(F.collect_list(F.struct((F.col("path") != F.col("keeping")).alias("later"), "path", "line"))).alias("rows"))
-    return per.select(F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("value"))
+    """The whole script in order, a ``value`` for each member, the banner first; for ``write.text``. Sets are sorted, not collected."""
+    rows = script(sets, link).select(F.lit(1).alias("part"), "keeping", (F.col("path") != F.col("keeping")).alias("later"), "path", F.col("line").alias("value"))
+    banner = sets.sparkSession.createDataFrame([(0, "", False, "", BANNER)], "part int, keeping string, later boolean, path string, value string")
+    return banner.unionByName(rows).orderBy("part", "keeping", "later", "path").select("value")
 
 
 def valid_entries(cache: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,8 +69,6 @@ def upserted(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def hash_one(path: str, alg: str = "xxhash", cache: DataFrame | None = None) -> bytes:
     """The digest of one file, from the cache if it is there and current."""
-    import os
-
     check_alg(alg)
     s = os.stat(path)
     if cache is not None:
@@ -77,3 +79,15 @@ def hash_one(path: str, alg: str = "xxhash", cache: DataFrame | None = None) ->
     if out is None:
         raise OSError(f"cannot read {path}")
     return out
+
+
+def hash_and_save(path: str, store: HashCache, alg: str = "xxhash", min_size: int = Options.cache_min_size) -> bytes:
+    """The digest of one file; a file of more than ``min_size`` bytes is looked up in the cache and saved there."""
+    s, cache = os.stat(path), store.load()
+    if s.st_size <= min_size:
+        return hash_one(path, alg)
+    out = hash_one(path, alg, cache)
+    row = (path, s.st_size, int(s.st_ctime), alg, bytearray(out))
+    if not cache.filter((F.col("path") == path) & (F.col("size") == s.st_size) & (F.col("ctime") == row[2]) & (F.col("alg") == alg)).count():
+        store.save(upserted(cache, store.spark.createDataFrame([row], CACHE)))
+    return out

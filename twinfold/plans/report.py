@@ -54,16 +54,26 @@ def footer(total: DataFrame) -> DataFrame:
     return total.select(F.format_string("Total used: %d bytes (%d KiB, %d MiB, %d GiB)", "bytes", "kib", "mib", "gib").alias("line"))
 
 
+def report_rows(sets: DataFrame, fmt: str = "text", min_total: int = 0, prefix: str | None = None) -> DataFrame:
+    """``part, total, each_size, first, value``: the whole report, a row for an entry, ordered by the first four; ``part`` is 0 for the head, 1 for entries and 2 for the foot.
+
+    JSON entries but the first have a line with a comma before them. Which is first is a minimum, so no row is numbered.
+    """
+    rows = totals(sets, min_total)
+    first = F.element_at("paths", 1)
+    out = rows.select(F.lit(1).alias("part"), "total", "each_size", first.alias("first"), body(fmt, prefix).alias("value"))
+    spark, schema = sets.sparkSession, "part int, total long, each_size long, first string, value string"
+    if fmt == "csv":
+        return out
+    if fmt == "text":
+        end = footer(grand_total(sets, min_total)).select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("each_size"), F.lit("").alias("first"), F.col("line").alias("value"))
+        return spark.createDataFrame([(0, 0, 0, "", "")], schema).unionByName(out).unionByName(end)
+    least = rows.agg(F.min(F.struct("total", "each_size", first.alias("first"))).alias("least"))  # one row
+    comma = F.when(F.struct("total", "each_size", "first") == F.col("least"), "").otherwise(",\n")
+    out = out.join(F.broadcast(least)).withColumn("value", F.concat(comma, "value")).drop("least")
+    return spark.createDataFrame([(0, 0, 0, "", "["), (2, 0, 0, "", "]")], schema).unionByName(out)
+
+
 def write_report(sets: DataFrame, out: str, fmt: str = "text", min_total: int = 0, prefix: str | None = None) -> None:
     """The whole report as text files in ``out``, in order."""
-    rows = rendered(sets, fmt, min_total, prefix)
-    if fmt == "json":
-        # Commas lead, so that no row needs to know whether it is the last.
-        rows = rows.withColumn("i", F.monotonically_increasing_id()).select(F.concat(F.when(F.col("i") == 0, "[\n").otherwise(","), "entry").alias("value"))
-        end = F.when(F.count("*") > 0, "]").otherwise("[\n]")
-        rows = rows.unionByName(totals(sets, min_total).agg(end.alias("value")))
-    elif fmt == "text":
-        rows = rows.select(F.col("entry").alias("value")).unionByName(footer(grand_total(sets, min_total)).select(F.col("line").alias("value")))
-    else:
-        rows = rows.select(F.col("entry").alias("value"))
-    rows.write.mode("overwrite").text(out)
+    report_rows(sets, fmt, min_total, prefix).orderBy("part", "total", "each_size", "first").select("value").write.mode("overwrite").text(out)

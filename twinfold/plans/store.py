@@ -2,33 +2,77 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.model import CACHE, DUPLICATES, META, SEPARATOR, VERSION
+from twinfold.model import CACHE, MEMBERS, META, SEPARATOR, VERSION
+from twinfold.operators.scan import as_sets, members
+from twinfold.plans.staging import deleted, listed
 
 #: Fixed value: age in days after which a store is called old.
 OLD_DAYS = 3
 
 
+class Generations:
+    """Folders ``g00000000``, ``g00000001``, ... below a path: the last one that is complete holds, and a new one is written beside it, so a job that fails leaves what was there."""
+
+    def __init__(self, spark: SparkSession, path: str, parts: tuple[str, ...]):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def _names(self) -> list[str]:
+        return [x for x in listed(self.spark, self.path) if re.fullmatch(r"g\d{8}", x)]
+
+    def _complete(self) -> list[str]:
+        return [x for x in self._names() if all("_SUCCESS" in listed(self.spark, f"{self.path}/{x}/{p}") for p in self.parts)]
+
+    def last(self) -> str | None:
+        done = self._complete()
+        return f"{self.path}/{done[-1]}" if done else None
+
+    def replace(self, *tables: DataFrame) -> None:
+        """Write the next generation, which may be derived from the last, then drop the earlier ones."""
+        before = self._names()
+        new = f"{self.path}/g{int(before[-1][1:]) + 1 if before else 0:08d}"
+        for name, table in zip(self.parts, tables, strict=True):
+            table.write.parquet(f"{new}/{name}")
+        self.drop(before)
+
+    def drop(self, names: list[str] | None = None) -> None:
+        for name in self._names() if names is None else names:
+            deleted(self.spark, f"{self.path}/{name}")
+
+
 class DuplicateStore:
-    """``duplicates`` and ``meta`` below one folder; saving replaces both."""
+    """Membership rows (set, size, path) and ``meta`` below one folder; saving replaces both at once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.kept = Generations(spark, path, ("members", "meta"))
 
     def save(self, sets: DataFrame, hidden: bool = False, hardlink_is_unique: bool = False, now_ms: int | None = None) -> None:
-        sets.write.mode("overwrite").parquet(f"{self.path}/duplicates")
+        """``sets`` are sets or membership rows."""
         row = (hidden, VERSION, now_ms if now_ms is not None else int(time.time() * 1000), "ignore" if hardlink_is_unique else "normal")
-        self.spark.createDataFrame([row], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+        self.kept.replace(members(sets), self.spark.createDataFrame([row], META).coalesce(1))
+
+    def _last(self) -> str:
+        where = self.kept.last()
+        if where is None:
+            raise FileNotFoundError(f"no duplicate store at {self.path}")
+        return where
+
+    def members(self) -> DataFrame:
+        """``id, each_size, path``."""
+        return self.spark.read.schema(MEMBERS).parquet(f"{self._last()}/members")
 
     def load(self) -> DataFrame:
-        return self.spark.read.schema(DUPLICATES).parquet(f"{self.path}/duplicates")
+        """``id, count, each_size, paths``; a set's paths are held together, so operators over large sets take ``members``."""
+        return as_sets(self.members())
 
     def meta(self) -> dict:
-        return self.spark.read.schema(META).parquet(f"{self.path}/meta").first().asDict()
+        return self.spark.read.schema(META).parquet(f"{self._last()}/meta").first().asDict()
 
     def warnings(self, hardlink_is_unique: bool = False, now_ms: int | None = None) -> list[str]:
         """About another version or an old store; asking again for what the store was built with is an error."""
@@ -48,31 +92,17 @@ class HashCache:
     """One table of digests; made empty on first use."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _generations(self) -> list[str]:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        self.spark, self.kept = spark, Generations(spark, path, ("hashes",))
 
     def load(self) -> DataFrame:
-        done = self._generations()
-        return self.spark.read.schema(CACHE).parquet(f"{self.path}/{done[-1]}") if done else self.spark.createDataFrame([], CACHE)
+        where = self.kept.last()
+        return self.spark.read.schema(CACHE).parquet(f"{where}/hashes") if where else self.spark.createDataFrame([], CACHE)
 
     def save(self, table: DataFrame) -> None:
-        """Write the next generation, which may be derived from the last, then drop the earlier ones."""
-        done = self._generations()
-        table.select("path", "size", "ctime", "alg", "hash").write.parquet(f"{self.path}/g{int(done[-1][1:]) + 1 if done else 0:08d}")
-        self._drop(done)
-
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.kept.replace(table.select("path", "size", "ctime", "alg", "hash"))
 
     def delete(self) -> None:
-        self._drop(self._generations())
+        self.kept.drop()
 
     def ls(self) -> DataFrame:
         return self.load().select("path", "size", "ctime", "alg", F.lower(F.hex("hash")).alias("hash"))

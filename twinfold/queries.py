@@ -57,12 +57,14 @@ def sets(spark: SparkSession, sf_dir: str, options: Options = ALL) -> DataFrame:
 
 
 def now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus after some documents vanished and some changed."""
+    """The corpus after some documents vanished and some changed; inodes stay those of the original contents."""
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    d = docs(spark, sf_dir)
-    # Inodes stay those of the original contents.
-    kept = document_files(d, True).select("path", F.col("inode").alias("i"))
-    return document_files(d.filter(F.col("doc_id") % 5 != 0), content=changed).join(kept, "path").withColumn("inode", F.col("i")).drop("i")
+    return document_files(docs(spark, sf_dir).filter(F.col("doc_id") % 5 != 0), True, changed)
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership rows of the corpus."""
+    return scan.duplicate_members(files(spark, sf_dir), ALL)
 
 
 def flat(s: DataFrame) -> DataFrame:
@@ -74,7 +76,9 @@ _FLAT = "SELECT size AS each_size, CAST({n} AS INTEGER) AS count, {paths} AS pat
 
 @query("SELECT path, size, CAST(inode AS BIGINT) AS inode FROM files")
 def tree_scan(spark, sf_dir):
-    return files(spark, sf_dir, True).select("path", "size", "inode")
+    # The adapter's inode is a hash; for the SQL it is named by the smallest document that shares it.
+    f = files(spark, sf_dir, True).select("path", "size", "inode", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("id"))
+    return f.join(f.groupBy("inode").agg(F.min("id").alias("first")), "inode").select("path", "size", F.col("first").alias("inode"))
 
 
 @query("SELECT path FROM files WHERE starts_with(path, '/src1/') OR starts_with(path, '/src2/')")
@@ -105,7 +109,7 @@ def unique_by_size(spark, sf_dir):
 
 @query("SELECT path, size FROM (SELECT *, count(*) OVER (PARTITION BY size, substr(hex(encode(content)), 1, 512)) AS n FROM files) WHERE n > 1")
 def prefix_groups(spark, sf_dir):
-    return scan.same_prefix(scan.same_size(files(spark, sf_dir)), "md5", 256).select("path", "size")
+    return scan.same_prefix(scan.accepted(files(spark, sf_dir), ALL), "md5", 256).select("path", "size")
 
 
 _SETS = _FLAT.format(n="n", paths="paths") + "sets"
@@ -205,42 +209,42 @@ _LS = "SELECT path, CASE WHEN n_duplicates > 0 THEN 'DUPLICATE' ELSE 'UNIQUE' EN
 
 @query(_LS)
 def ls(spark, sf_dir):
-    return verify.listing(sets(spark, sf_dir), now(spark, sf_dir), alg="md5")
+    return verify.listing(rows(spark, sf_dir), now(spark, sf_dir), alg="md5")
 
 
 @query(_LS + " WHERE starts_with(path, '/src1/')")
 def ls_path(spark, sf_dir):
-    return verify.listing(sets(spark, sf_dir), now(spark, sf_dir), "/src1", alg="md5")
+    return verify.listing(rows(spark, sf_dir), now(spark, sf_dir), "/src1", alg="md5")
 
 
 @query(f"SELECT path FROM ({_LS}) WHERE label = 'DUPLICATE'")
 def dups(spark, sf_dir):
-    return verify.dups(sets(spark, sf_dir), now(spark, sf_dir), alg="md5")
+    return verify.dups(rows(spark, sf_dir), now(spark, sf_dir), alg="md5")
 
 
 @query(f"SELECT path FROM ({_LS}) WHERE label = 'UNIQUE'")
 def uniques(spark, sf_dir):
-    return verify.uniques(sets(spark, sf_dir), now(spark, sf_dir), alg="md5")
+    return verify.uniques(rows(spark, sf_dir), now(spark, sf_dir), alg="md5")
 
 
 @query("SELECT path FROM " + _LISTING.format(counted="'DUP'") + " WHERE n_duplicates = 0")
 def verify_hardlink_unique(spark, sf_dir):
-    return verify.uniques(sets(spark, sf_dir), now(spark, sf_dir), alg="md5", hardlink_is_unique=True)
+    return verify.uniques(rows(spark, sf_dir), now(spark, sf_dir), alg="md5", hardlink_is_unique=True)
 
 
 @query("SELECT path, candidate, status FROM stat")
 def verify_status(spark, sf_dir):
-    return verify.verified_pairs(sets(spark, sf_dir), now(spark, sf_dir), "md5")
+    return verify.verified_pairs(rows(spark, sf_dir), now(spark, sf_dir), "md5")
 
 
 @query("SELECT path, candidate, CASE WHEN starts_with(candidate, '/src1/') THEN 'xxx' ELSE status END AS status FROM stat")
 def verify_exclude(spark, sf_dir):
-    return verify.verified_pairs(sets(spark, sf_dir), now(spark, sf_dir), "md5", exclude_path="/src1")
+    return verify.verified_pairs(rows(spark, sf_dir), now(spark, sf_dir), "md5", exclude_path="/src1")
 
 
 @query("SELECT path, candidate, status FROM stat WHERE path = (SELECT min(path) FROM m WHERE path IN (SELECT path FROM now))")
 def file_lookup(spark, sf_dir):
-    s, n = sets(spark, sf_dir), now(spark, sf_dir)
+    s, n = rows(spark, sf_dir), now(spark, sf_dir)
     first = scan.members(s).select("path").join(n.select("path"), "path", "left_semi").agg(F.min("path").alias("path"))
     return verify.verified_pairs(s, n, "md5", first)
 
@@ -256,12 +260,12 @@ FROM m LEFT JOIN now a ON a.path = m.kept LEFT JOIN now b ON b.path = m.path GRO
 
 @query(f"SELECT path, count, n_ok, n_ok = count - 1 AS ok FROM {_VALID}")
 def validate(spark, sf_dir):
-    return verify.validate(sets(spark, sf_dir), now(spark, sf_dir), "md5").drop("id")
+    return verify.validate(rows(spark, sf_dir), now(spark, sf_dir), "md5").drop("id")
 
 
 @query(f"SELECT count(*) AS n_sets, CAST(sum(CASE WHEN n_ok = count - 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_errors FROM {_VALID}")
 def validate_errors(spark, sf_dir):
-    v = verify.validate(sets(spark, sf_dir), now(spark, sf_dir), "md5")
+    v = verify.validate(rows(spark, sf_dir), now(spark, sf_dir), "md5")
     return v.agg(F.count("*").alias("n_sets"), F.sum((~F.col("ok")).cast("long")).alias("n_errors"))
 
 
@@ -270,17 +274,17 @@ _SCRIPT = "SELECT kept AS keeping, path, CASE WHEN path = kept THEN '# KEEPING:
 
 @query(_SCRIPT.format(more=""))
 def rmsh(spark, sf_dir):
-    return maintain.script(sets(spark, sf_dir))
+    return maintain.script(rows(spark, sf_dir))
 
 
 @query(_SCRIPT.format(more=" || chr(10) || 'ln -s ''' || kept || ''' ''' || path || ''''"))
 def rmsh_soft(spark, sf_dir):
-    return maintain.script(sets(spark, sf_dir), "soft")
+    return maintain.script(rows(spark, sf_dir), "soft")
 
 
 @query(_SCRIPT.format(more=" || chr(10) || 'ln ''' || kept || ''' ''' || path || ''''"))
 def rmsh_hard(spark, sf_dir):
-    return maintain.script(sets(spark, sf_dir), "hard")
+    return maintain.script(rows(spark, sf_dir), "hard")
 
 
 def _cached(spark, sf_dir) -> DataFrame:
@@ -323,10 +327,15 @@ def cache_upsert(spark, sf_dir):
 
 @query("""SELECT (SELECT count(*) FROM files) AS files_seen, (SELECT count(*) FROM files WHERE size < 100) AS too_small, 0::BIGINT AS not_file, 0::BIGINT AS errors, 0::BIGINT AS bad_separator,
 (SELECT count(*) FROM files WHERE size >= 100) AS accepted, count(*) FILTER (k > 1) AS size_sets, CAST(sum(k) FILTER (k > 1) AS BIGINT) AS processed, count(*) FILTER (k = 1) AS unique_by_size,
-(SELECT CAST(sum(n) AS BIGINT) FROM sets WHERE size >= 100) AS duplicate_files, (SELECT count(*) FROM sets WHERE size >= 100) AS duplicate_groups, (SELECT max(n) FROM sets WHERE size >= 100) AS largest_set
+max(k) AS largest_size_group, (SELECT size FROM files WHERE size >= 100 GROUP BY size ORDER BY count(*) DESC, size LIMIT 1) AS largest_size_group_size,
+CAST((SELECT sum(k - i) FROM (SELECT count(*) AS k, count(DISTINCT inode) AS i FROM files WHERE size >= 100 GROUP BY size HAVING count(*) > 1)) AS BIGINT) AS hard_links,
+(SELECT CAST(sum(n) AS BIGINT) FROM sets WHERE size >= 100) AS duplicate_files, (SELECT count(*) FROM sets WHERE size >= 100) AS duplicate_groups, (SELECT max(n) FROM sets WHERE size >= 100) AS largest_set,
+CAST(sum(k) FILTER (k > 1) AS BIGINT) - (SELECT CAST(sum(n) AS BIGINT) FROM sets WHERE size >= 100) AS unique_files, 0::BIGINT AS unreadable,
+(SELECT count(*) FROM (SELECT 1 FROM files WHERE size >= 100 GROUP BY size HAVING count(*) > 1 AND bool_and(doc_id % 3 <> 0 AND doc_id % 4 <> 0))) AS size_list_done_from_cache,
+(SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM files WHERE size >= 100 GROUP BY size HAVING count(*) > 1 AND bool_and(doc_id % 3 <> 0 AND doc_id % 4 <> 0))) AS files_done_from_cache, true AS consistent
 FROM (SELECT size, count(*) AS k FROM files WHERE size >= 100 GROUP BY size)""")
 def scan_stats(spark, sf_dir):
-    return scan.statistics(files(spark, sf_dir), Options(alg="md5", min_size=100, hidden=True, prefixes=()))
+    return scan.statistics(files(spark, sf_dir, True), Options(alg="md5", min_size=100, hidden=True, prefixes=(), cache_min_size=0), _cached(spark, sf_dir))
 
 
 @query("SELECT size AS each_size, CAST(count(*) AS INTEGER) AS count, string_agg(path, '|' ORDER BY path) AS paths FROM files WHERE doc_id % 11 <> 0 GROUP BY size, h HAVING count(*) > 1")
@@ -336,8 +345,45 @@ def unreadable(spark, sf_dir):
     return flat(scan.duplicate_sets(f.withColumn("content", F.when(~bad, F.col("content"))), ALL))
 
 
-@query("SELECT a.path AS a, b.path AS b, a.size FROM files a JOIN files b ON a.size = b.size AND a.content = b.content AND a.path < b.path")
+@query("SELECT * FROM (SELECT min(path) OVER (PARTITION BY content) AS first, path, size FROM files WHERE size >= 1) WHERE path <> first")
 def byte_compare(spark, sf_dir):
-    return scan.byte_equal_pairs(files(spark, sf_dir))
+    return scan.byte_equal(files(spark, sf_dir))
+
+
+@query("SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name FROM files")
+def path_split(spark, sf_dir):
+    return files(spark, sf_dir).select("path", "dir", "name")
+
+
+@query("SELECT size AS each_size, path FROM m")
+def set_members(spark, sf_dir):
+    return rows(spark, sf_dir).select("each_size", "path")
+
+
+@query("SELECT size, count(*) AS count FROM files GROUP BY size ORDER BY count DESC, size LIMIT 1")
+def largest_size_group(spark, sf_dir):
+    groups = scan.size_groups(files(spark, sf_dir)).agg(F.max(F.struct("count", F.negative("size").alias("less"))).alias("most"))
+    return groups.select((-F.col("most.less")).alias("size"), F.col("most.count").alias("count"))
+
+
+@query("SELECT path, md5(substr(regexp_replace(content, '[^\\x00-\\x7F]', '?', 'g'), 65, 128)) AS digest FROM files WHERE size >= 1")
+def prefix_skip(spark, sf_dir):
+    """Blocks after some are skipped; of texts, whose characters the SQL counts, so that content is in ASCII for both."""
+    ascii_ = document_files(docs(spark, sf_dir), content=F.regexp_replace("text", "[^\\x00-\\x7F]", "?"))
+    return scan.prefix_digests(scan.accepted(ascii_, ALL), "md5", 128, 64).select("path", F.lower(F.hex("hash")).alias("digest"))
+
+
+_LINES = "(SELECT path, '' AS n, CASE WHEN n_duplicates > 0 THEN 'DUPLICATE: ' ELSE '   UNIQUE: ' END || CASE WHEN starts_with(path, '/src1') THEN substr(path, 6) ELSE path END AS line FROM " + _LISTING.format(counted="'DUP', 'HL'") + ")"
+
+
+@query(f"SELECT path, n, line FROM {_LINES} UNION ALL SELECT path, candidate, '             ' || rpad(status, 3, ' ') || ': ' || CASE WHEN starts_with(candidate, '/src1') THEN substr(candidate, 6) ELSE candidate END FROM stat")
+def ls_details(spark, sf_dir):
+    m, n = rows(spark, sf_dir), now(spark, sf_dir)
+    return verify.listing_lines(verify.listing(m, n, alg="md5"), prefix="/src1", pairs=verify.verified_pairs(m, n, "md5"))
 
 
+@query("""SELECT 1 AS part, n * size AS total, size AS each_size, kept AS first,
+CASE WHEN row_number() OVER (ORDER BY n * size, size, kept) = 1 THEN '' ELSE ',' || chr(10) END || '[ ' || n * size || ', ' || size || ', "' || replace(paths, '|', '", "') || '" ]' AS value FROM sets
+UNION ALL SELECT 0, 0, 0, '', '[' UNION ALL SELECT 2, 0, 0, '', ']'""")
+def report_json_file(spark, sf_dir):
+    return report.report_rows(sets(spark, sf_dir), "json")

@@ -1,7 +1,8 @@
 """Directory trees as a Spark data source.
 
-Each root is split at its first level: one input partition for the root's own files and one for each directory in it. Symbolic
-links are never followed. Entries that cannot be read come as rows of kind ``error``.
+Roots are split level by level until there are ``SPLIT`` directories to walk or ``LEVELS`` levels are split: a directory that is split gives its own files, one that is not
+is walked whole, and both are dealt to at most ``PARTS`` input partitions. Symbolic links are never followed. Entries that cannot be read, or vanish meanwhile, come as rows of kind
+``error``. Names that are not UTF-8 are kept without loss, see ``text_of``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from twinfold.functions.paths import text_of
 from twinfold.model import FILES, SEPARATOR, Options
 
 
@@ -31,56 +33,75 @@ def checked_roots(roots: list[str] | None) -> list[str]:
     return out
 
 
+SPLIT, LEVELS, PARTS = 64, 4, 1024
+
+
 class _Part(InputPartition):
-    def __init__(self, root: str, top: str, deep: bool):
-        self.root, self.top, self.deep = root, top, deep
+    """Directories to walk: (root, directory, whether with all below it), as bytes."""
+
+    def __init__(self, tops: list[tuple[bytes, bytes, bool]]):
+        self.tops = tops
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.roots = json.loads(options["roots"])
+        self.roots = [os.fsencode(r) for r in json.loads(options["roots"])]
         self.hidden = options.get("hidden", "false") == "true"
         self.one_device = options.get("one_file_system", "false") == "true"
 
-    def _entries(self, top: str) -> list[os.DirEntry] | None:
+    def _entries(self, top: bytes) -> list[os.DirEntry] | None:
         try:
             with os.scandir(top) as it:
-                return [e for e in it if self.hidden or not e.name.startswith(".")]
+                return [e for e in it if self.hidden or not e.name.startswith(b".")]
         except OSError:
             return None
 
     def partitions(self):
-        out = []
-        for root in self.roots:
-            out.append(_Part(root, root, False))
-            out += [_Part(root, e.path, True) for e in self._entries(root) or [] if e.is_dir(follow_symlinks=False)]
-        return out
+        own, level = [], [(r, r) for r in self.roots]
+        for _ in range(LEVELS):
+            if len(level) >= SPLIT:
+                break
+            own += level
+            level = [(root, e.path) for root, top in level for e in self._entries(top) or [] if e.is_dir(follow_symlinks=False)]
+        tops = [(*x, False) for x in own] + [(*x, True) for x in level]
+        n = min(len(tops), PARTS)
+        return [_Part(tops[k::n]) for k in range(n)]
+
+    def _row(self, root: bytes, path: bytes, kind: str, s: os.stat_result | None) -> tuple:
+        dir_, name = os.path.split(path)
+        return (*map(text_of, (root, path, dir_, name)), kind, *((s.st_size, s.st_ino, s.st_dev, int(s.st_ctime)) if s else (None,) * 4))
+
+    @staticmethod
+    def _stat(path: bytes) -> os.stat_result | None:
+        try:
+            return os.lstat(path)
+        except OSError:
+            return None
 
-    def _row(self, root: str, path: str, kind: str, s: os.stat_result | None) -> tuple:
-        return (root, path, os.path.dirname(path), os.path.basename(path), kind, *((s.st_size, s.st_ino, s.st_dev, int(s.st_ctime)) if s else (None,) * 4))
+    def _elsewhere(self, root: os.stat_result | None, s: os.stat_result | None) -> bool:
+        """Whether a directory is left out as it lies on another device than its root."""
+        return self.one_device and root is not None and s is not None and s.st_dev != root.st_dev
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        device = os.lstat(partition.root).st_dev
-        todo = [partition.top]
-        if partition.deep and self.one_device and os.lstat(partition.top).st_dev != device:
-            return
-        while todo:
-            top = todo.pop()
-            entries = self._entries(top)
-            if entries is None:
-                yield self._row(partition.root, top, "error", None)
+        for root, first, deep in partition.tops:
+            at_root = self._stat(root)
+            if self._elsewhere(at_root, self._stat(first)):
                 continue
-            for e in entries:
-                try:
-                    s = os.lstat(e.path)
-                except OSError:
-                    yield self._row(partition.root, e.path, "error", None)
+            todo = [first]
+            while todo:
+                top = todo.pop()
+                entries = self._entries(top)
+                if entries is None:
+                    yield self._row(root, top, "error", None)
                     continue
-                if stat.S_ISDIR(s.st_mode):
-                    if partition.deep and not (self.one_device and s.st_dev != device):
+                for e in entries:
+                    s = self._stat(e.path)
+                    if s is None:
+                        yield self._row(root, e.path, "error", None)
+                    elif not stat.S_ISDIR(s.st_mode):
+                        yield self._row(root, e.path, "file" if stat.S_ISREG(s.st_mode) else "other", s)
+                    elif deep and not self._elsewhere(at_root, s):
                         todo.append(e.path)
-                    continue
-                yield self._row(partition.root, e.path, "file" if stat.S_ISREG(s.st_mode) else "other", s)
 
 
 class FileTree(DataSource):
