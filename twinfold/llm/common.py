@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.plans.staging import place, release, shared_dir, stage
+
+__all__ = ["place", "release", "shared_dir", "stage"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,49 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one when unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="twinfold-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-_staged: list[tuple[SparkSession, str]] = []
+def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
+    """``doc_id``, the whole text (null: empty) and the columns named; all other columns are pruned."""
+    return docs.select("doc_id", *more, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def slices(batches, column: str, size: int):
+    """The batches in slices of about ``size`` bytes (or items) of a column, one row at least, so that what a worker holds at once is bounded.
 
-    This cuts lineage: a lost executor costs a re-read, not a recomputation, and later stages prune columns.
+    Lengths come from the column's offsets; no value is copied.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinfold-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _staged.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
-
+    import numpy as np
+    import pyarrow as pa
 
-def release() -> None:
-    """Delete every staged table of this process; call it once the results that read them are written."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+    for batch in batches:
+        rows, at = batch.column(column), 0
+        kind = rows.type
+        width = np.int64 if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) or pa.types.is_large_list(kind) else np.int32
+        ends = np.frombuffer(rows.buffers()[1], width)[rows.offset : rows.offset + len(rows) + 1] if len(rows) else np.zeros(1, width)
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
-atexit.register(release)
+class Memo:
+    """Two generations of entries, each of at most ``most``: when the newer one is full it becomes the older, and entries in use move on."""
 
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
 
-def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
-    """``doc_id``, the whole text (null: empty) and the columns named; all other columns are pruned."""
-    return docs.select("doc_id", *more, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    def room(self, n: int) -> None:
+        if len(self.now) + n > self.most:
+            self.now, self.old = {}, self.now
 
 
 class Bounded(dict):
