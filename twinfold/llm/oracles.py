@@ -15,12 +15,14 @@ WITH e AS (
     SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len
     FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
     WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), q AS (
+    SELECT DISTINCT vec_id, v, len FROM e WHERE vec_id % 50 = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) / (q.len * c.len) AS score
-    FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    SELECT q.vec_id AS query_id, q.v, c.vec_id, list_inner_product(q.v, c.v) / (q.len * c.len) AS score
+    FROM q JOIN e c ON q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
 _METRICS = {
