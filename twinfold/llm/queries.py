@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, mixing, near_dup, pii, ppm, quality, token_count, token_file, toxicity
-from .common import shared_dir, table
+from .common import place, table
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +19,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/twinfold-{uuid.uuid4().hex}/tokens"
+    out = place(spark, "tokens")
     token_file.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
     return token_file.read_token_files(spark, out, with_ids=False)
 
