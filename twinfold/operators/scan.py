@@ -18,6 +18,8 @@ from twinfold.plans.staging import stage
 
 #: What a scan carries of a file besides its digest.
 NARROW = ("path", "size", "dev", "inode", "ctime")
+#: Bytes and files that one task reads, and most tasks.
+TASK_BYTES, TASK_FILES, TASKS = 512_000_000, 20_000, 100_000
 
 
 def in_columns(files: DataFrame) -> bool:
@@ -95,6 +97,13 @@ def hashed(files: DataFrame, alg: str, cache: DataFrame | None = None, cache_min
     return served.unionByName(rest).filter(F.col("hash").isNotNull())
 
 
+def spread(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Narrow rows of files dealt to as many tasks as the bytes that will be read of them, or their number, ask for."""
+    size = F.col("size") if most is None else F.least("size", F.lit(most))
+    t = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return rows.repartition(min(TASKS, max(1, -(-t["bytes"] // TASK_BYTES), -(-t["n"] // TASK_FILES))))
+
+
 def _on_disk(f: DataFrame, options: Options, cache: DataFrame | None) -> DataFrame:
     """Narrow rows with the ``hash`` of each file that may have a duplicate: the size, prefix and whole-file rounds, each staged."""
     f = stage(f.select(*NARROW), "files")
@@ -109,10 +118,10 @@ def _on_disk(f: DataFrame, options: Options, cache: DataFrame | None) -> DataFra
         done.append(hits.join(whole, "size", "left_semi"))
         f = f.join(whole, "size", "left_anti")
     for most in sorted(options.prefixes):
-        read = stage(prefix_digests(f, options.alg, most), f"prefix{most}")
+        read = stage(prefix_digests(spread(f, most), options.alg, most), f"prefix{most}")
         done.append(read.filter(F.col("size") <= most))
         f = shared(read.filter(F.col("size") > most), "size", "hash").drop("hash")
-    out = stage(computed(f, options.alg), "whole")
+    out = stage(computed(spread(f), options.alg), "whole")
     for part in done:
         out = out.unionByName(part)
     return out.filter(F.col("hash").isNotNull())
