@@ -1,16 +1,18 @@
 """Byte-level BPE by DuckDB recursive queries, one in-memory database per worker.
 
-Encoding: the pattern splits a text into words. Each word that is not yet known holds its tokens, at first its bytes, in a list. A recursive query
-unnests the lists to token-position rows, joins adjacent tokens with the merge table (left, right, rank), contracts each word's leftmost pair of
+Encoding: the pattern splits a text into words. Each word that is not yet known holds its tokens in a list: one if the word is a vocabulary entry, else its bytes. A
+recursive query unnests the lists to token-position rows, joins adjacent tokens with the merge table (left, right, rank), contracts each word's leftmost pair of
 minimum rank, and repeats until no word has a pair left. The minimum is a hash aggregate, so no step sorts. Merge ranks are those of the concatenated bytes, as for rank files.
 
+Words of more than ``LONG`` bytes take a second recursive query, whose step contracts all occurrences of a word's minimum rank, from left to right
+and without overlap, and which keeps the latest tokens of a word only, so that its steps are as many as the ranks merged and its memory that of the words. The result is the
+same as long as no merge makes a pair of a lower rank. The query sees that for the pairs of each step, and the loading of the ranks tests it for a merged token
+beside the first half of its next occurrence; a word for which it does not hold goes through the first query again.
+
 Decoding: a query joins (sequence, position, token) rows with the vocabulary and aggregates the tokens' bytes in
 order of position. A sequence of identifiers is first cut into parts at white space and punctuation (decoding is the concatenation of its
 parts), so that each distinct part is decoded once while it stays in a bounded memo.
 
-Words of more than ``LONG`` bytes would need as many recursion steps as merges, with all their rows in each; those go to the heap of ``token_count``, which merges in the
-same order in n log n steps.
-
 Edge cases: a null or empty text has no tokens and decodes to nothing; null identifiers lists decode to nothing; an unknown identifier raises; repeated rows are
 encoded again; an empty table gives no rows; columns besides those named are ignored, or kept where stated.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import compress
 from operator import not_
@@ -28,21 +31,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import claim, texts
-from .token_count import count_symbols
+from .common import Memo, claim, slices, texts, trimmed
 
 LONG = 200
-#: Entries of the two memos, and bytes of new words in one query.
-ENCODED, DECODED, CHUNK = 800_000, 600_000, 100_000
+#: Entries of a generation of the two memos, and bytes of new words in one query.
+ENCODED, DECODED, CHUNK = 500_000, 400_000, 100_000
+#: Characters (or identifiers) of the rows that are worked on at once, one row at least.
+GROUP = 1_000_000
+
+_START = "SELECT word, CASE WHEN token IS NULL THEN tokens ELSE [token] END AS tokens FROM symbols LEFT JOIN vocabulary USING (raw)"
+
+_RESULT = """
+SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex, any_value(fell) AS fell
+FROM (SELECT word, fell, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step {where}) JOIN vocabulary USING (token)
+GROUP BY word ORDER BY word
+"""
 
-_ENCODE = """
-WITH RECURSIVE step(word, tokens, done) AS (
-    SELECT word, tokens, false FROM symbols
+_ENCODE = f"""
+WITH RECURSIVE step(word, tokens, done, fell) AS (
+    SELECT *, len(tokens) = 1, false FROM ({_START})
     UNION ALL
     SELECT
         word,
         CASE WHEN best IS NULL THEN tokens ELSE list_concat(tokens[:(best & 4294967295) - 1], [(best >> 32)::INTEGER], tokens[(best & 4294967295) + 2:]) END,
-        best IS NULL
+        best IS NULL,
+        false
     FROM (SELECT * FROM step WHERE NOT done) LEFT JOIN (
         SELECT word, min((m.rank::BIGINT << 32) | s.pos) AS best
         FROM (SELECT word, unnest(range(1, len(tokens))) AS pos, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r FROM step WHERE NOT done) s
@@ -50,9 +63,27 @@ WITH RECURSIVE step(word, tokens, done) AS (
         GROUP BY word
     ) USING (word)
 )
-SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step WHERE done) JOIN vocabulary USING (token)
-GROUP BY word ORDER BY word
+{_RESULT.format(where="WHERE done")}
+"""
+
+_ENCODE_LONG = f"""
+WITH RECURSIVE step(word, tokens, last, fell) USING KEY (word) AS (
+    SELECT *, -1, false FROM ({_START})
+    UNION
+    SELECT word, list(token ORDER BY pos), any_value(least), any_value(least < last) FROM (
+        WITH rows AS MATERIALIZED (
+            SELECT word, last, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos, unnest(list_append(tokens[2:], NULL)) AS r FROM step WHERE NOT fell
+        ),
+        pairs AS MATERIALIZED (SELECT word, pos, rank FROM rows JOIN merges m ON m.l = token AND m.r = rows.r),
+        least AS (SELECT word, min(rank) AS rank FROM pairs GROUP BY word),
+        hits AS (SELECT word, pos, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM pairs JOIN least USING (word, rank)),
+        taken AS MATERIALIZED (SELECT word, pos FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1)
+        SELECT rows.word, rows.pos, last, least.rank AS least, CASE WHEN taken.pos IS NULL THEN rows.token ELSE least.rank END AS token
+        FROM rows JOIN least ON rows.word = least.word LEFT JOIN taken ON taken.word = rows.word AND taken.pos = rows.pos
+        WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.word = rows.word AND t.pos = rows.pos - 1)
+    ) GROUP BY word
+)
+{_RESULT.format(where="")}
 """
 
 _DECODE = """
@@ -62,17 +93,6 @@ GROUP BY part ORDER BY part
 """
 
 
-class Memo:
-    """Two generations of entries, each of at most ``most``: when the newer one is full it becomes the older, and entries in use move on."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
-
-    def room(self, n: int) -> None:
-        if len(self.now) + n > self.most:
-            self.now, self.old = {}, self.now
-
-
 class Codec:
     """Encoder and decoder for a rank file; memos and database are bounded."""
 
@@ -81,21 +101,26 @@ class Codec:
         import regex
 
         with open(path, "rb") as f:
-            self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
-        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for b, i in ranks.items():
-            self.bytes_of[i] = b
-        self.digits = [str(i) for i in range(len(self.bytes_of))]
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         #: A part is cut before a token that begins with white space, and on both sides of one without letters or digits.
-        self.opens = np.array([b is not None and b[:1].isspace() for b in self.bytes_of])
-        self.closes = np.array([b is not None and b.isascii() and not any(c.isalnum() for c in b.decode()) for b in self.bytes_of])
-        pairs = [(left, right, i) for b, i in ranks.items() for k in range(1, len(b)) if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "max_temp_directory_size": "0KB"})
-        for name, columns in (("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True))), ("vocabulary", {"token": list(ranks.values()), "digits": list(map(str, ranks.values())), "hex": [b.hex() for b in ranks]})):
-            self.db.register("made", pa.table({k: pa.array(v, pa.string() if k in ("hex", "digits") else pa.int32()) for k, v in columns.items()}))
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM made")
+        self.opens, self.closes = np.zeros((2, max(ranks.values()) + 1), bool)
+        made: tuple[array, array, array] = array("i"), array("i"), array("i")
+        self.ordered = True
+        for b, i in ranks.items():
+            self.opens[i], self.closes[i] = b[:1].isspace(), b.isascii() and not any(c.isalnum() for c in b.decode())
+            for k in range(1, len(b)):
+                if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None:
+                    for column, x in zip(made, (left, right, i), strict=True):
+                        column.append(x)
+                    self.ordered &= ranks.get(b + b[:k], i) >= i
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "max_temp_directory_size": "0KB"})
+        merges = dict(zip(("l", "r", "rank"), (pa.array(np.frombuffer(x, np.int32)) for x in made), strict=True))
+        vocabulary = {"token": pa.array(ranks.values(), pa.int32()), "raw": pa.array(ranks.keys(), pa.binary())}
+        for name, columns, more in (("merges", merges, ""), ("vocabulary", vocabulary, ", token::VARCHAR AS digits, lower(hex(raw)) AS hex")):
+            self.db.register("made", pa.table(columns))
+            self.db.execute(f"CREATE TABLE {name} AS SELECT *{more} FROM made")
             self.db.unregister("made")
         self.encoded, self.decoded = Memo(encoded), Memo(decoded)
 
@@ -106,43 +131,40 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> list[list[str]]:
+    def _contract(self, words: list[bytes], query: str) -> tuple[list[str], list[str]]:
         """Identifiers in decimal, and decoded bytes in hexadecimal, of each word."""
         ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)))
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
-        rows = {"word": pa.array(range(len(words)), pa.int32()), "tokens": tokens}
-        return self._query("symbols", pa.table(rows), _ENCODE)
-
-    def _merge_long(self, word: bytes) -> bytes:
-        rank = {b.decode("latin-1"): i for b, i in self.ranks.items()}
-        rest = count_symbols([chr(b) for b in word], rank)[1]
-        return b" ".join(b"%d" % rank[x] for x in rest)
+        ids, hex_, fell = self._query("symbols", pa.table({"word": pa.array(range(len(words)), pa.int32()), "raw": pa.array(words, pa.binary()), "tokens": tokens}), query)
+        for i in compress(range(len(words)), fell):
+            (ids[i],), (hex_[i],) = self._contract([words[i]], _ENCODE)
+        return ids, hex_
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that the memo lacks."""
-        memo, chunk, size = self.encoded.now, [], 0
-
-        def flush() -> None:
-            self.decoded.room(len(chunk))
-            for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk]), strict=True):
-                memo[w] = ids = ids.encode()
-                self.decoded.now[ids] = bytes.fromhex(hex_)
-            chunk.clear()
+        memo = self.encoded.now
+        short: list[tuple[str, bytes]] = []
+        long: list[tuple[str, bytes]] = []
+        held = {id(short): 0, id(long): 0}
+
+        def flush(chunk: list[tuple[str, bytes]]) -> None:
+            if chunk:
+                self.decoded.room(len(chunk))
+                for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk], _ENCODE if chunk is short else _ENCODE_LONG), strict=True):
+                    memo[w] = ids = ids.encode()
+                    self.decoded.now[ids] = bytes.fromhex(hex_)
+                chunk.clear()
+                held[id(chunk)] = 0
 
         for w in words:
             b = w.encode()
-            if (i := self.ranks.get(b)) is not None:
-                memo[w] = b"%d" % i
-            elif len(b) > LONG:
-                memo[w] = self._merge_long(b)
-            else:
-                chunk.append((w, b))
-                size += len(b)
-                if size > CHUNK:
-                    flush()
-                    size = 0
-        if chunk:
-            flush()
+            chunk = long if self.ordered and len(b) > LONG else short
+            chunk.append((w, b))
+            held[id(chunk)] += len(b)
+            if held[id(chunk)] > CHUNK:
+                flush(chunk)
+        flush(short)
+        flush(long)
 
     @staticmethod
     def _looked_up(rows: list[list], memo: Memo, learn: Callable[[list], None]) -> list[list[bytes]]:
@@ -184,7 +206,7 @@ class Codec:
         for ids in batch:
             alone = self.closes[ids]
             cuts = (np.flatnonzero(self.opens[ids[1:]] | alone[1:] | alone[:-1]) + 1).tolist()
-            digits = list(map(self.digits.__getitem__, ids.tolist()))
+            digits = list(map(str, ids.tolist()))
             parts.append([" ".join(digits[a:b]).encode() for a, b in zip([0, *cuts], [*cuts, len(digits)], strict=True)] if digits else [])
         return self.decode_parts(parts)
 
@@ -205,45 +227,28 @@ def codec(path: str, pattern: str, memo: int = ENCODED) -> Codec:
     return _codecs[key]
 
 
-def _groups(rows: list, size: int = 2_000_000) -> Iterator[list]:
-    """Runs of rows of about ``size`` characters or identifiers, to bound what is held at once."""
-    group, n = [], 0
-    for r in rows:
-        group.append(r)
-        n += len(r)
-        if n > size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int), of every whole text; no shuffle. The vocabulary file must exist on all executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for group in _groups(batch.column("text").to_pylist()):
-                ids = codec(path, pattern).encode(group)
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(group)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
-                done += len(group)
+        for part in slices(batches, "text", GROUP):
+            ids = codec(path, pattern, memo).encode(part.column("text").to_pylist())
+            at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> DataFrame:
     """``doc_id`` and ``bytes`` of every ``ids`` list (null: empty); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
-            out = [b for group in _groups(rows) for b in codec(path, pattern).decode(group)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
+        for part in slices(batches, "ids", GROUP):
+            out = codec(path, pattern, memo).decode([np.array(x or [], np.int32) for x in part.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> DataFrame:
@@ -253,18 +258,18 @@ def digests(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches, "text", GROUP):
             n, ids_sha, text_sha = [], [], []
-            for group in _groups(batch.column("text").to_pylist()):
-                gc.disable()  # millions of small objects and no cycles among them
-                c = codec(path, pattern, memo)
-                encoded = c.encode_words(group)
-                for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
-                    ids = b" ".join(words)
-                    n.append(ids.count(b" ") + bool(ids))
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(raw).hexdigest())
-                gc.enable()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            gc.disable()  # millions of small objects and no cycles among them
+            c = codec(path, pattern, memo)
+            encoded = c.encode_words(part.column("text").to_pylist())
+            for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
+                ids = b" ".join(words)
+                n.append(ids.count(b" ") + bool(ids))
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(raw).hexdigest())
+            del encoded, words, raw, ids
+            gc.enable()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
