@@ -122,21 +122,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _cuts(docs: DataFrame, want: dict[tuple, tuple[int, int, int, int, int]]) -> dict[tuple, tuple[int, int]]:
+def _cuts(docs: DataFrame, marks: list[int], want: dict[tuple, tuple[int, int, int, int, int]]) -> dict[tuple, tuple[int, int]]:
     """For each key (pattern, low, limit, words, skip) an end ``high`` and the words left over.
 
     The pattern's documents of at most ``limit`` words, without those of hash ``skip``, with ``low <= hash < high`` have ``words`` less that rest, and those of the next hash
-    value would have more. Four passes over histograms with 256 sums for each key; ``docs``: pattern, hash, size.
+    value would have more. Four passes over histograms with 256 sums for each key; ``docs``: mark, hash, size.
     """
     order = list(want)
     prefix, left, done = [0] * len(order), [want[k][3] for k in order], {}
     for shift in range(BITS - 8, -1, -8):
-        keys = [(i, want[k][0], prefix[i], want[k][1], want[k][2], want[k][4]) for i, k in enumerate(order) if i not in done]
+        keys = [(i, marks[want[k][0]], prefix[i], want[k][1], want[k][2], want[k][4]) for i, k in enumerate(order) if i not in done]
         if not keys:
             break
         # at most MAX_PATTERNS * copies rows and their inner edges
-        small = F.broadcast(docs.sparkSession.createDataFrame(keys, "i int, pattern int, prefix long, low long, most long, skip long"))
-        rows = docs.join(small, "pattern").filter((F.shiftright("hash", shift + 8) == F.col("prefix")) & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0) & (F.col("hash") != F.col("skip")))
+        small = F.broadcast(docs.sparkSession.createDataFrame(keys, "i int, mark long, prefix long, low long, most long, skip long"))
+        rows = docs.join(small, "mark").filter((F.shiftright("hash", shift + 8) == F.col("prefix")) & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0) & (F.col("hash") != F.col("skip")))
         sums: dict[int, dict[int, int]] = {}
         for r in rows.groupBy("i", F.shiftright("hash", shift).bitwiseAND(255).alias("b")).agg(F.sum("size").alias("n")).collect():
             sums.setdefault(r["i"], {})[r["b"]] = r["n"]
@@ -156,7 +156,7 @@ def _around(low: int, high: int, skip: int) -> list[tuple[int, int]]:
     return [(low, skip), (skip + 1, high)] if low <= skip < high else [(low, high)]
 
 
-def _filled(docs: DataFrame, tries: dict[tuple, dict], least: list[int], copies: int) -> None:
+def _filled(docs: DataFrame, marks: list[int], tries: dict[tuple, dict], least: list[int], copies: int) -> None:
     """Fills each try's ``rest`` until no document of its pattern fits that has copies left; intervals are added to its ``parts``.
 
     A try goes on at ``low`` of copy ``level`` with documents of at most ``most`` words, never with those of hash ``skip``. The rest shrinks or ``low``
@@ -170,24 +170,49 @@ def _filled(docs: DataFrame, tries: dict[tuple, dict], least: list[int], copies:
                 want[k] = (t["pattern"], t["low"], most, t["rest"], t["skip"])
         if not want:
             return
-        for k, (high, rest) in _cuts(docs, want).items():
+        for k, (high, rest) in _cuts(docs, marks, want).items():
             t = tries[k]
             t["parts"] += [(t["source"], low, end, want[k][2]) for low, end in _around(t["low"], high, t["skip"])]
             t["rest"] = rest
             t["level"], t["low"] = (t["level"] + 1, 0) if high >= 1 << BITS else (t["level"], high + 1)  # what stands at the edge itself does not fit
 
 
-def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Callable[[int], float] = default_weight, copies: int = COPIES, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (its columns, staged) with ``size``, ``pattern`` and ``copies`` (the sources, by position, that take it, once for each copy),
-    and the table ``source, position, source_size, target``.
+def _marked(members: Column) -> Column:
+    """A 64-bit key of a pattern, in which null members differ from all others; ``plan`` tests that no two patterns share one.
 
-    ``members`` is an array of sources; a document counts toward the size of each of them.
+    Joins on a long build a compact table, those on text take a page of memory in each executor for every join.
     """
-    spark = docs.sparkSession
-    base = stage(docs.withColumns({"size": size, "members": F.sort_array(F.array_distinct(members)), "hash": seeded(key, seed)}), "sized")
-    groups = base.groupBy("members").agg(F.sum("size").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).limit(MAX_PATTERNS + 1).collect()
+    return F.xxhash64(F.to_json(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))))
+
+
+def measured(rows: DataFrame, members: Column, size: Column, key: Column, seed: int = 17) -> DataFrame:
+    """``row`` (a struct of all columns of ``rows``, so that no name can clash), ``members``, ``mark``, ``size`` and ``hash``."""
+    held = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+    out = rows.select(held, F.sort_array(F.array_distinct(members)).alias("members"), size.alias("size"), seeded(key, seed).alias("hash"))
+    return out.withColumn("mark", _marked(F.col("members")))
+
+
+def taken(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """``docs``, as ``measured`` made it, with ``copies``: the sources, by position, that take the row, once for each copy; and what else ``table`` has.
+
+    ``table`` has a row for each pattern, at most ``MAX_PATTERNS``, with its intervals, so it is broadcast.
+    """
+    inside = F.filter("parts", lambda x: (x["low"] <= F.col("hash")) & (F.col("hash") < x["high"]) & (F.col("size") <= x["most"]))
+    return docs.join(F.broadcast(table), "mark").withColumn("copies", F.transform(inside, lambda x: x["source"])).drop("mark", "parts")
+
+
+def plan(base: DataFrame, weight: Callable[[int], float] = default_weight, copies: int = COPIES) -> tuple[DataFrame, DataFrame]:
+    """``mark, parts, positions``, the intervals of each pattern's hashes that are taken and its sources, and the table ``source, position, source_size, target``.
+
+    ``base`` is a staged table with ``members`` (an array of sources; a document counts toward the size of each), ``mark``, ``size`` and ``hash``; texts need not be in it.
+    """
+    spark = base.sparkSession
+    groups = base.groupBy("members", "mark").agg(F.sum("size").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).limit(MAX_PATTERNS + 1).collect()
     if len(groups) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    marks = [g["mark"] for g in groups]
+    if len(set(marks)) < len(marks):
+        raise ValueError("two membership patterns have one key")
     names = sorted({s for g in groups for s in g["members"]}, key=lambda s: (s is None, s or ""))
     position = {s: i for i, s in enumerate(names)}
     sets = [sorted(position[s] for s in g["members"]) for g in groups]
@@ -198,17 +223,13 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
     scale = total / sum(goal) if sum(goal) > total > 0 else 1.0  # overlapping sources count a document more than once
     goal = [g * scale for g in goal]
     flows = min_cost_flow(supply, sets, [int(g) for g in goal], copies)
-    patterns = spark.createDataFrame([(i, g["members"]) for i, g in enumerate(groups)], "pattern int, members array<string>")
-    # At most MAX_PATTERNS rows: a broadcast of bounded size. Null members match by the joined text of the pattern.
-    mark = lambda c: F.to_json(F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-"))))
-    tagged = base.withColumn("mark", mark(F.col("members"))).join(F.broadcast(patterns.select("pattern", mark(F.col("members")).alias("mark"))), "mark")
     edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for p, r, s, words in flows:
         ends = edges.setdefault((p, r), [])
         ends.append((s, words + (ends[-1][1] if ends else 0)))
-    hashed = tagged.select("pattern", "hash", "size")
+    hashed = base.select("mark", "hash", "size")
     everything, top = max(supply, default=0), 1 << BITS
-    cut = _cuts(hashed, {(p, x): (p, 0, everything, x, -1) for (p, _), ends in edges.items() for _, x in ends if 0 < x < supply[p]})
+    cut = _cuts(hashed, marks, {(p, x): (p, 0, everything, x, -1) for (p, _), ends in edges.items() for _, x in ends if 0 < x < supply[p]})
     parts: dict[int, list[tuple[int, int, int, int]]] = {p: [] for p in range(len(groups))}
     short = {}
     for (p, r), ends in edges.items():
@@ -224,8 +245,8 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
     # The edge document taken: only where the pattern's words all go to one source, so that no other interval moves.
     alone = {p: (r, *short[p, r]) for p, r in short if len({s for s, *_ in parts[p]}) == 1}
     if alone:
-        at = F.broadcast(spark.createDataFrame([(p, high) for p, (_, _, high, _) in alone.items()], "pattern int, edge long"))
-        edge = hashed.join(at, "pattern").filter((F.col("hash") == F.col("edge")) & (F.col("size") > 0)).groupBy("pattern").agg(F.sum("size").alias("n"), F.min("size").alias("least"))
+        at = F.broadcast(spark.createDataFrame([(marks[p], p, high) for p, (_, _, high, _) in alone.items()], "mark long, pattern int, edge long"))
+        edge = hashed.join(at, "mark").filter((F.col("hash") == F.col("edge")) & (F.col("size") > 0)).groupBy("pattern").agg(F.sum("size").alias("n"), F.min("size").alias("least"))
         for e in edge.collect():  # a row for each pattern
             p = e["pattern"]
             r, s, high, _ = alone[p]
@@ -234,27 +255,30 @@ def plan(docs: DataFrame, members: Column, size: Column, key: Column, weight: Ca
             level = min(copies, max(0, open_) // others) if others else copies  # whole copies of the others
             whole = [(s, high, high + 1, everything)] * (r + 1) + [(s, x, y, everything) for x, y in _around(0, top, high)] * (level if others else 0)
             tries[p, True] = {"pattern": p, "source": s, "level": level, "low": 0, "rest": open_ - level * others, "most": everything, "skip": high, "parts": whole}
-    _filled(hashed, tries, least, copies)
+    _filled(hashed, marks, tries, least, copies)
     for p in alone:
         if (p, True) in tries and abs(tries[p, True]["rest"]) < tries[p, False]["rest"]:
             parts[p] = tries[p, True]["parts"]
-    table = spark.createDataFrame(list(parts.items()), "pattern int, parts array<struct<source:int,low:long,high:long,most:long>>")
-    took = tagged.join(F.broadcast(table), "pattern").withColumn("copies", F.transform(F.filter("parts", lambda x: (x["low"] <= F.col("hash")) & (F.col("hash") < x["high"]) & (F.col("size") <= x["most"])), lambda x: x["source"]))
+    table = spark.createDataFrame([(marks[p], x, sets[p]) for p, x in parts.items()], "mark long, parts array<struct<source:int,low:long,high:long,most:long>>, positions array<int>")
     sources = spark.createDataFrame([(s, i, sizes[i], goal[i]) for i, s in enumerate(names)], "source string, position int, source_size long, target double")
-    return took.drop("mark", "parts", "members", "hash"), sources
+    return table, sources
 
 
 def mix(docs: DataFrame, weight: Callable[[int], float] = default_weight, copies: int = COPIES, seed: int = 17) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source``: each document belongs to its one source."""
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    took, sources = plan(d, F.array("source"), F.col("size"), F.col("doc_id"), weight, copies, seed)
-    # as many rows as sources, at most MAX_PATTERNS
-    return took.join(F.broadcast(sources.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"), "source")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    base = stage(measured(rows, F.array("source"), F.col("size"), F.col("doc_id"), seed), "sized")
+    table, sources = plan(base, weight, copies)
+    # Each pattern is one source; both tables have a row for each of at most MAX_PATTERNS.
+    own = table.join(F.broadcast(sources.drop("source")), F.col("positions")[0] == F.col("position")).drop("positions", "position")
+    return taken(base, own).select("row.doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"), "row.source")
 
 
 def mixed(docs: DataFrame, weight: Callable[[int], float] = default_weight, copies: int = COPIES, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, with its columns, each as often as the mix takes it."""
-    columns = docs.columns
-    held = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    took, _ = plan(docs.select(held, F.col("source").alias("name"), F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size")), F.array("name"), F.col("size"), F.col("key"), weight, copies, seed)
-    return took.select("row", F.explode("copies")).select(*(F.col("row").getField(c).alias(c) for c in columns))
+    """The rows of ``docs``, with its columns, each as often as the mix takes it.
+
+    Only sizes and hashes are staged; texts are read again for the result, and never shuffled.
+    """
+    rows = measured(docs, F.array("source"), word_count(F.col("text")), F.col("doc_id"), seed)
+    table, _ = plan(stage(rows.select("members", "mark", "size", "hash"), "sized"), weight, copies)
+    return taken(rows, table).select("row", F.explode("copies")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

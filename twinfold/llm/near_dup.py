@@ -1,6 +1,6 @@
 """Near-duplicate groups by HyperMinHash.
 
-A document's set holds its distinct 4-word shingles as 64-bit hashes. Each of ``REGISTERS`` buckets has its own hash function and keeps, of its
+A document's set holds its distinct shingles (of ``WORDS`` words unless told otherwise) as 64-bit hashes. Each of ``REGISTERS`` buckets has its own hash function and keeps, of its
 least value, the count of leading zeros and ten mantissa bits: 16 bits a register. Four registers make a band. Documents that share
 a band are candidates; the share of equal registers, corrected for chance collisions of compressed registers, estimates their Jaccard similarity; links are then
 confirmed on the full sets: 100 * intersection >= 80 * union.
@@ -15,7 +15,7 @@ never formed as rows, and no candidate is dropped by a cap.
 With similarity s a band is shared with probability s^4; 24 bands miss a pair at 0.8 once in 300,000 times. The estimate's cut lies 6.9 standard
 deviations under 0.8 and adds a loss of 1.4e-10, so of the pairs at 0.8 that bands make candidates the exact check decides practically all.
 
-Edge cases: documents with fewer than 4 words have their whole sequence as one shingle; null, empty and blank texts have an empty set and
+Edge cases: documents with fewer words than a shingle have their whole sequence as one shingle; null, empty and blank texts have an empty set and
 are linked with nothing; repeated rows are one node; a null doc_id can be linked but is never a component's id unless alone; ties take the smaller id; an
 empty table gives no rows; texts of any length are shingled whole; columns besides those named are ignored, or kept where stated.
 """
@@ -29,23 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, stage, texts, trimmed
+from .common import claim, slices, stage, texts, trimmed
 from .graph import components
 
-#: Words of a shingle, registers of a sketch, bands (from the first registers) and registers of a band.
-WORDS, REGISTERS, BANDS, BAND = 4, 192, 24, 4
+#: Words of a shingle in op9, and in the pipeline's stage; most words that a shingle can have.
+WORDS, STAGE_WORDS, MOST_WORDS = 4, 5, 16
+#: Registers of a sketch, bands (from the first registers) and registers of a band.
+REGISTERS, BANDS, BAND = 192, 24, 4
 SIMILAR = 80
 #: Estimates under this are taken for unlike; it only spares the exact check far pairs.
 CUT = 0.6
 #: Leaders that a node is compared with before any other pairs.
 LEADERS = 3
 CHUNK = 256
+#: Bytes of the texts that are worked on at once, one text at least.
+GROUP = 2_000_000
 #: Most rows of ids that are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_ODD = _rng.integers(0, 1 << 62, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(0, 1 << 62, MOST_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, size: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes; bytes.split cuts at space and U+0009 to U+000D, and lower changes A-Z only."""
     from xxhash import xxh3_64_intdigest
 
@@ -62,12 +66,12 @@ def shingles(text: str) -> np.ndarray:
     w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     if not words:
         return w
-    if len(w) < WORDS:
-        s = (w * _ODD[: len(w)]).sum(keepdims=True) + _ODD[WORDS] * np.uint64(len(w))
+    if len(w) < size:
+        s = (w * _ODD[: len(w)]).sum(keepdims=True) + _ODD[MOST_WORDS] * np.uint64(len(w))
     else:
-        n = len(w) - WORDS + 1
+        n = len(w) - size + 1
         s = w[:n] * _ODD[0]
-        for k in range(1, WORDS):
+        for k in range(1, size):
             s = s + w[k : k + n] * _ODD[k]
     return np.unique(_mixed(s))
 
@@ -111,17 +115,17 @@ def estimate(equal: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
     return (equal / REGISTERS - e) / (1 - e)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n, node, regs, bands``: set size, 64-bit identity of the set (null if empty), registers and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         claim("near_dup")
-        for batch in batches:
+        for batch in slices(batches, "text", GROUP):
             n, node, regs, keys = [], [], [], []
             for t in batch.column("text").to_pylist():
-                s = shingles(t)
+                s = shingles(t, words)
                 n.append(len(s))
                 if len(s):
                     r = registers(s)
@@ -136,7 +140,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, node long, regs binary, bands array<long>")
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``node, items`` of the nodes wanted, made again from their texts only."""
     wanted = stage(wanted.distinct().join(nodes.select("node", F.col("first_doc").alias("doc_id")), "node"), "wanted")
     ids = wanted.select(F.col("doc_id").alias("other")).distinct()
@@ -146,8 +150,9 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
-            made = [x for t in batch.column("text").to_pylist() if len(x := shingles(t))]
+        claim("near_dup")
+        for batch in slices(batches, "text", GROUP):
+            made = [x for t in batch.column("text").to_pylist() if len(x := shingles(t, words))]
             node = [xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in made]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["node", "items"])
 
@@ -155,9 +160,9 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(rows.mapInArrow(trimmed(run), "node long, items array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
-    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes)
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes, words)
     x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -225,13 +230,13 @@ def _like(comps: np.ndarray, sizes: np.ndarray, component: int, n: int) -> np.nd
     return (comps != component) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n))
 
 
-def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Links ``a, b`` of the nodes asked with nodes of other components at the spot, confirmed on full sets; one for each component suffices.
 
     A spot holds about ``CHUNK`` nodes, and only links leave it.
     """
     there = spots.join(asked.select("spot").distinct(), "spot", "left_semi")
-    sets = _sets(there.select("node").unionByName(asked.select("node")), docs, nodes).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = _sets(there.select("node").unionByName(asked.select("node")), docs, nodes, words).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = there.select("node", "spot", F.lit(0).alias("kind")).unionByName(asked.select("node", "spot", F.lit(1).alias("kind"))).join(sets, "node").repartition("spot").sortWithinPartitions("spot", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +271,9 @@ def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: Dat
     return dealt.select("spot", "kind", "node", "component", "items").mapInArrow(trimmed(run), "a long, b long")
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketches, the nodes (``node, n, regs, first_doc``) and ``node, component`` of the nodes with links."""
-    base = stage(sketches(docs), "sketches")
+    base = stage(sketches(docs, words), "sketches")
     filled = base.filter("node IS NOT NULL")
     nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
@@ -289,10 +294,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for turn in range(1, LEADERS + 2):
         if turn <= LEADERS:
             pairs = stage(_estimated(_apart(led.filter(F.col("r") == turn).select("a", "b"), comp), nodes), "pairs")
-            found = None if pairs.isEmpty() else _confirmed(pairs, docs, nodes)
+            found = None if pairs.isEmpty() else _confirmed(pairs, docs, nodes, words)
         else:  # every other pair across components, once
             asked = stage(_across(keyed, comp, nodes, spots), "asked")
-            found = None if asked.isEmpty() else _confirmed_at(asked, comp, spots, docs, nodes)
+            found = None if asked.isEmpty() else _confirmed_at(asked, comp, spots, docs, nodes, words)
         if found is not None:
             found = stage(found, "found")
             edges = found if edges is None else edges.unionByName(found)
@@ -300,18 +305,20 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return base, nodes, comp
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    base, nodes, comp = linked(docs)
+    base, nodes, comp = linked(docs, words)
     first = comp.join(nodes.select("node", "first_doc"), "node")
     ids = first.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = nodes.select("node", "first_doc").join(comp.join(ids, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # One node stands for all exact copies of a text. Written, its side of the join below is a plain exchange, and Spark splits the partitions of the other side where a node is hot.
+    named = stage(named, "named")
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     name = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.col("doc_id").eqNullSafe(name)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """The rows of ``docs``, with its columns, whose doc_id names their group; repeated rows of that doc_id all stay."""
-    kept = stage(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = stage(near_duplicates(docs, words).filter("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

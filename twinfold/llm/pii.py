@@ -14,16 +14,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import claim, slices, texts, trim, trimmed
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 THRESHOLD = 0.6
+#: Bytes of the texts that are worked on at once, one text at least.
+GROUP = 2_000_000
 #: Code points looked at on either side of a span.
 NEAR = 48
 #: Score of a proposed span, and of one that a checksum or range check confirmed.
@@ -135,7 +136,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores`` of every text; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("pii")
+        for batch in slices(batches, "text", GROUP):
             counts, digests, joined, scores = [[] for _ in BASE], [], [], []
             for t in batch.column("text").to_pylist():
                 found = spans(t)
@@ -150,15 +152,21 @@ def pii_spans(docs: DataFrame) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and ``n_chars``, if there, recounted; nulls stay null. All columns are kept."""
 
-    @F.pandas_udf("string")
-    def clean(s: pd.Series) -> pd.Series:  # a vectorised function: one Arrow batch at a time
-        return s.map(lambda t: None if t is None else redacted(t))
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # vectorised: only this column goes to the workers
+        claim("pii")
+        for s in batches:
+            rows = pa.RecordBatch.from_arrays([s], ["text"])
+            parts = [pa.array((None if t is None else redacted(t) for t in x.column(0).to_pylist()), pa.string()) for x in slices([rows], "text", GROUP)]
+            yield pa.concat_arrays(parts) if parts else s
+            del s, rows, parts
+            trim()
 
     out = docs.withColumn(text, clean(F.col(text)))
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
