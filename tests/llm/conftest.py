@@ -22,7 +22,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     d = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    return d.withColumns({c: F.lit("clash") for c in ("size", "node", "key", "block", "kind", "held_out", "hash", "pattern", "ids", "h", "n", "members", "copies", "mark")}).cache()
+    return d.withColumns({c: F.lit("clash") for c in ("size", "node", "key", "block", "kind", "held_out", "hash", "pattern", "ids", "h", "n", "members", "copies", "mark", "row", "parts", "tie", "variant", "_kept_id", "doc")}).cache()
 
 
 @pytest.fixture(scope="session")

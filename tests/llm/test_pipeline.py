@@ -21,7 +21,7 @@ def test_stages(spark, tik):  # noqa: F811
     assert {r.doc_id for r in good.collect()} == kept and good.columns == columns
 
     one = step["near-duplicates"](spark, good, sf).cache()
-    groups = brute_groups({i: held[i] for i in kept})
+    groups = brute_groups({i: held[i] for i in kept}, 5)
     assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, (_, c) in groups.items() if i == c) and one.columns == columns
 
     clean = step["personal data"](spark, one, sf).cache()
@@ -41,3 +41,19 @@ def test_stages(spark, tik):  # noqa: F811
         assert r.n_tokens == len(tik.encode_ordinary(texts[r.doc_id]))
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, pipeline.run(spark, sf).collect()))
+
+
+def test_awkward_tables(spark, odd, empty):
+    """Every stage on nulls, empty, long and repeated texts, clashing columns and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd, empty):
+        for name, step in pipeline.STAGES[:-1]:
+            out = step(spark, docs, sf)
+            assert out.columns == odd.columns and out.count() >= 0, name
+        assert pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+    step = dict(pipeline.STAGES)
+    assert step["near-duplicates"](spark, odd, sf).filter("doc_id = 1").count() == 2  # repeated rows of the doc_id that is kept
+    clean = {(r.doc_id, r.text) for r in step["personal data"](spark, odd, sf).collect()}
+    assert (2, None) in clean and (3, "") in clean
+    again = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert again.unionByName(again).count() == step["personal data"](spark, again.unionByName(again), sf).count()
