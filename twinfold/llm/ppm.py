@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import claim, slices, stage, texts, trimmed
 
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a block, least number of blocks, and bytes that are worked on at once.
-BLOCK, LEAST, PIECE = 96_000_000, 12, 2_000_000
+BLOCK, LEAST, PIECE = 48_000_000, 12, 1_000_000
+#: Positions that are counted before their distinct keys are merged with those of the block.
+PENDING = 4_000_000
 #: Kinds of rows: contexts with a symbol, words, documents.
 GRAM, WORD, TEXT = 0, 1, 2
 EDGE = 255
@@ -65,36 +67,43 @@ def words_of(raw: bytes) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of two sorted runs, with the sums of their counts."""
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
+    return key[first], np.add.reduceat(n, first, dtype=np.int32) if len(first) else n
 
 
 class _Tally:
-    """Distinct keys of a block with their counts in training texts; the lowest bit marks keys from other texts."""
+    """Distinct keys of a block with their counts in training texts; the lowest bit marks keys from other texts. Counts are below the block's bytes, so 32 bits hold them."""
 
     def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.key, self.n = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.pending: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, keys: np.ndarray, held: bool) -> None:
-        key, n = np.unique((keys << np.uint64(1)) | np.uint64(held), return_counts=True)
-        self.keys.append(key)
-        self.counts.append(n)
-        if len(self.keys) >= 16:
-            key, n = _summed(self.keys, self.counts)
-            self.keys, self.counts = [key], [n]
+        self.pending.append((keys << np.uint64(1)) | np.uint64(held))
+        self.held += len(keys)
+        if self.held >= PENDING:
+            self._merge()
+
+    def _merge(self) -> None:
+        pending, self.pending, self.held = np.concatenate([np.empty(0, np.uint64), *self.pending]), [], 0
+        key, n = np.unique(pending, return_counts=True)
+        del pending
+        self.key, self.n = _summed(np.concatenate((self.key, key)), np.concatenate((self.n, n.astype(np.int32))))
 
     def rows(self, block: int, kind: int) -> Iterator[pa.RecordBatch]:
-        if not self.keys:
+        self._merge()
+        key, n = self.key, self.n
+        if not len(key):
             return
-        key, n = _summed(self.keys, self.counts)
         held, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        c = np.add.reduceat(np.where(held, 0, n), first) if len(first) else n
+        c = np.add.reduceat(np.where(held, 0, n), first)
         key = key[first].astype(np.int64)
         for k in range(0, len(key), 50_000):
             m = len(key[k : k + 50_000])
@@ -105,8 +114,9 @@ def gather(blocks: DataFrame, order: int) -> DataFrame:
     """``block, kind, key, c``: the keys and words of each block's documents, with their counts in its training texts (0: only in others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ppm")
         now, grams, words = None, _Tally(), _Tally()
-        for batch in batches:
+        for batch in slices(batches, "text", PIECE):
             block, held = batch.column("block").to_pylist(), batch.column("held_out").to_pylist()
             raws = [t.encode() for t in batch.column("text").to_pylist()]
             at = 0
@@ -129,7 +139,7 @@ def gather(blocks: DataFrame, order: int) -> DataFrame:
         yield from grams.rows(now, GRAM)
         yield from words.rows(now, WORD)
 
-    return blocks.select("block", "held_out", "text").mapInArrow(run, "block int, kind int, key long, c long")
+    return blocks.select("block", "held_out", "text").mapInArrow(trimmed(run), "block int, kind int, key long, c long")
 
 
 def model(grams: DataFrame, order: int) -> DataFrame:
@@ -163,27 +173,29 @@ def model(grams: DataFrame, order: int) -> DataFrame:
 
 
 class Table:
-    """Look-up of 64-bit keys: a slot for most keys, binary search for those whose slot another key has."""
+    """Look-up of 64-bit keys: a slot with the place of most keys, binary search for those whose slot another key has.
+
+    Of n keys and values it needs 16 n bytes, and 8 n to 16 n for the slots.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        bits = max(8, int(len(keys)).bit_length() + 2)
+        bits = max(8, len(keys).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        slot = self._slot(self.keys)
-        self.slot_key, self.slot_value = np.full(1 << bits, np.uint64(1) << np.uint64(63)), np.zeros(1 << bits)
-        self.slot_key[slot], self.slot_value[slot] = self.keys, self.values
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = self.slot_value[slot]
-        other = np.flatnonzero(self.slot_key[slot] != keys)
-        if len(other):  # keys that are not in the table get some value
-            out[other] = self.values[np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)]
-        return out
+        """The values of the keys, which must be in the table."""
+        at = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        return self.values[at]
 
 
 def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, block_bytes: int = BLOCK) -> DataFrame:
@@ -192,7 +204,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("ends")).first()
     n_blocks, ends = max(LEAST, -(-(size["bytes"] or 0) // block_bytes)), size["ends"] or 0
     # One block a partition: its number is the partition's.
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     gathered = stage(gather(blocks.repartitionById(n_blocks, F.col("block")), order), "gathered")
     grams, words = gathered.filter(F.col("kind") == GRAM), gathered.filter(F.col("kind") == WORD)
     lp = stage(model(grams.select(F.col("key").alias("gram"), "c"), order), "model")
@@ -206,6 +218,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
     dealt = answers.unionByName(counts).unionByName(asked, allowMissingColumns=True).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ppm")
         now = None
         for batch in batches:
             at, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -222,7 +235,8 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
                 if tables is None:
                     tables = [Table(np.concatenate([np.empty(0, np.uint64), *(x for x, _ in got[k])]), np.concatenate([np.empty(0), *(x for _, x in got[k])])) for k in (GRAM, WORD)]
                     got = {}
-                yield from _scored(part, *tables)
+                for some in slices([part], "text", PIECE):
+                    yield from _scored(some, *tables)
 
     def _scored(part: pa.RecordBatch, table: Table, counted: Table) -> Iterator[pa.RecordBatch]:
         raws = [t.encode() for t in part.column("text").to_pylist()]
@@ -249,4 +263,4 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.mapInArrow(trimmed(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
