@@ -319,6 +319,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
-    """The rows of ``docs``, with its columns, whose doc_id names their group; repeated rows of that doc_id all stay."""
-    kept = stage(near_duplicates(docs, words).filter("kept").select("doc_id").distinct(), "kept")
+    """The rows of ``docs``, with its columns, whose doc_id names their group; repeated rows of that doc_id all stay.
+
+    Texts are not shuffled as long as the identifiers that go are few enough to be broadcast, as they mostly are; beyond that the join moves them once.
+    """
+    flags = stage(near_duplicates(docs, words).groupBy("doc_id").agg(F.max("kept").alias("kept")), "kept")
+    gone, kept = flags.filter(~F.col("kept")), flags.filter("kept")
+    if gone.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
