@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, near_dup, pii, ppm, quality, token_count, token_file, toxicity
+from . import ann, bpe, chat, mixing, near_dup, pii, ppm, quality, token_count, token_file, toxicity
 from .common import place, table
 
 
@@ -52,7 +52,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_byte_bpe, op3_token_files, op4_ppm, op5_quality_rules, op6_pii, op7_mixing, op8_toxicity, op9_near_duplicates, op10_token_counts)
+    for f in (op1_nearest, op2_byte_bpe, op3_token_files, op4_ppm, op5_quality_rules, op6_pii, op7_mixing, op8_toxicity, op9_near_duplicates, op10_token_counts, op11_chat)
 }
