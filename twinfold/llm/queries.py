@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, chat, mixing, near_dup, pii, ppm, quality, token_count, token_file, toxicity
+from . import alignment, ann, bpe, chat, mixing, near_dup, pii, point_in_time, ppm, quality, token_count, token_file, toxicity
 from .common import place, table
 
 
@@ -58,11 +58,15 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)))
 
 
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_in_time.features(*(table(spark, sf_dir, name) for name in ("clicks", "sales", "sale_lines")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_byte_bpe, op3_token_files, op4_ppm, op5_quality_rules, op6_pii, op7_mixing, op8_toxicity, op9_near_duplicates, op10_token_counts, op11_chat, op13_alignment)
+    for f in (op1_nearest, op2_byte_bpe, op3_token_files, op4_ppm, op5_quality_rules, op6_pii, op7_mixing, op8_toxicity, op9_near_duplicates, op10_token_counts, op11_chat, op12_point_in_time, op13_alignment)
 }
