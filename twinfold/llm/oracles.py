@@ -1,11 +1,13 @@
 """DuckDB SQL for those production queries that SQL can express in reasonable time on whole tables.
 
-None is given for byte-pair encodings (2, 3, 10), PPM (4), span offsets (6), the greedy hash-ordered mix (7) and the trained
+None is given for byte-pair encodings (2, 3, 10, 13), PPM (4), span offsets (6), the greedy hash-ordered mix (7) and the trained
 classifier (8); tests/llm compares these with brute-force versions.
 """
 
 from __future__ import annotations
 
+from .chat import MARKS, OTHER, SECTION, TARGET
+from .point_in_time import DAY, DELAY_MINUTES, LABEL, SPREAD, WINDOWS
 from .quality import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -88,4 +90,60 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_nearest": OP1, "op5_quality_rules": OP5, "op9_near_duplicates": OP9}
+_CONTROLS = "|".join(m.replace("[", r"\[") for m in (*(m for pair in MARKS.values() for m in pair), *OTHER))
+_ESCAPED = lambda text: f"length({text}) + len(regexp_extract_all({text}, '{_CONTROLS}'))"
+_FRAME = " ".join(f"WHEN role = '{role}' THEN {len(a) + len(b) + 2}" for role, (a, b) in MARKS.items())
+
+#: A section is taken to be one part, as it is below ``chat.CHARS`` characters.
+OP11 = rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(floor(turn / {SECTION}), -1e18) AS section FROM (
+        SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    )
+), f AS (
+    SELECT *, CASE {_FRAME} ELSE {sum(map(len, OTHER)) + 4} + {_ESCAPED("role")} END + {_ESCAPED("text")} AS size FROM t
+), r AS (
+    SELECT *, sum(size) OVER w AS whole, lead(turn) OVER w IS NULL AND row_number() OVER w = count(*) OVER (PARTITION BY conv_id, section) AS ends FROM f
+    WINDOW w AS (PARTITION BY conv_id, section ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY section, turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = '{TARGET}'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY section, turn NULLS FIRST, role, text) FILTER (role = '{TARGET}'), '')) AS loss_sha256,
+    CAST(sum(whole) FILTER (role = '{TARGET}' OR ends) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+#: CRC-32 with the usual reflected polynomial, a byte and then a bit at a time.
+_CRC = lambda text: f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+_CENTS = lambda amount: f"coalesce(CAST(floor(100 * {amount} + 0.5) AS BIGINT), 0)"
+
+OP12 = f"""
+WITH s AS (
+    SELECT sale_id, client_id, epoch_us(sold_at) AS sold, epoch_us(arrived_at) + {DELAY_MINUTES * 60_000_000} AS known, {_CENTS("total")} AS cents,
+        epoch_us(sold_at) + {_CRC("CAST(sale_id AS VARCHAR)")} % {SPREAD} * 1000000 AS t
+    FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL
+), c AS (
+    SELECT *, {_CENTS("value")} AS cents, epoch_us(ts) AS us, epoch_us(arrived_at) + {DELAY_MINUTES * 60_000_000} AS known
+    FROM (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks)
+), p AS (
+    SELECT sale_id, client_id, t, d, t - d * {DAY} AS since FROM s, (VALUES {", ".join(f"({d})" for d in WINDOWS)}) v(d)
+), pc AS (
+    SELECT p.sale_id, d, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(cents) AS click_cents, arg_max(click_id, (us, click_id)) AS last_click_id
+    FROM p JOIN c USING (client_id) WHERE us > since AND us <= t AND known <= t GROUP BY ALL
+), ps AS (
+    SELECT p.sale_id, d, p.t, s.sale_id AS own, cents FROM p JOIN s USING (client_id) WHERE sold > since AND sold <= p.t AND known <= p.t
+), pn AS (
+    SELECT sale_id, d, count(*) AS n_sales, sum(cents) AS sale_cents FROM ps GROUP BY ALL
+), pl AS (
+    SELECT ps.sale_id, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum({_CENTS("amount")}) AS line_cents
+    FROM ps JOIN sale_lines l ON l.sale_id = own WHERE epoch_us(shipped_at) <= t GROUP BY ALL
+), y AS (
+    SELECT DISTINCT a.sale_id FROM s a JOIN s b USING (client_id) WHERE b.sold > a.t AND b.sold <= a.t + {LABEL * DAY}
+)
+SELECT sale_id, CAST(d AS INTEGER) AS d, t AS t_us, y.sale_id IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases,
+    CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents, last_click_id, coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM p LEFT JOIN pc USING (sale_id, d) LEFT JOIN pn USING (sale_id, d) LEFT JOIN pl USING (sale_id, d) LEFT JOIN y USING (sale_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_nearest": OP1, "op5_quality_rules": OP5, "op9_near_duplicates": OP9, "op11_chat": OP11, "op12_point_in_time": OP12}
