@@ -50,7 +50,7 @@ def micros(df: DataFrame, name: str) -> Column:
     if df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
         return F.unix_micros(c.cast("timestamp"))
     seconds = F.date_part(F.lit("SECONDS"), c)
-    return F.unix_date(c.cast("date")).cast("long") * DAY + F.hour(c) * 3_600_000_000 + F.minute(c) * 60_000_000 + (seconds * 1_000_000).cast("long")
+    return F.unix_date(c.cast("date")).cast("long") * DAY + (F.hour(c).cast("long") * 60 + F.minute(c)) * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
 def cents(amount: Column) -> Column:
