@@ -128,24 +128,66 @@ def test_library_encoder_with_odd_spaces(libraries, batch):
 
 
 def test_long_words(tik, libraries):
-    """Words beyond ``LONG`` are contracted by the second query, whole runs of a pair at a time."""
+    """Words beyond ``LONG``, with the dealt vocabulary: windows are put together, and a run that no two windows cut alike takes the query for whole words."""
     rng = np.random.default_rng(2)
-    long = ["=" * 4999, "ab" * 700, "".join(rng.choice(list("abcdefghij"), 1500)), "é" * 999, "".join(rng.choice(list("日本語言葉"), 800)), " " * 300 + "x", "aab" * 333]
+    letters = lambda some, n: "".join(rng.choice(list(some), n))
+    long = ["=" * 4999, "ab" * 700, letters("abcdefghij", 1500), "é" * 999, letters("日本語言葉", 800), " " * 300 + "x", "aab" * 333, "0" * 3001, "---!" * 500, "!---" * 77, letters("-=", 1200), "x" * 20_000, letters("abcdefghijklmnopqrstuvwxyz", 20_000)]
     got = libraries[0].encode(long)
     assert [x.tolist() for x in got] == [tik.encode_ordinary(t) for t in long] and libraries[0].decode(got) == [t.encode() for t in long]
 
 
-def test_ranks_that_fall(tmp_path):
-    """A vocabulary in which a merge makes a pair of a lower rank: the long query sees it and the word is contracted pair by pair."""
+def test_which_query_takes_long_words(tik, libraries, monkeypatch):
+    codec, asked = libraries[0], []
+    contract = codec._contract
+    monkeypatch.setattr(codec, "_contract", lambda words, query=bpe._ENCODE: (asked.append((query is bpe._ENCODE_LONG, max(map(len, words)))), contract(words, query))[1])
+    letters = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))
+    assert codec.long_word(letters.encode()).split() == [b"%d" % i for i in tik.encode_ordinary(letters)]
+    assert asked and not any(whole for whole, _ in asked) and max(n for _, n in asked) <= bpe.WIDEST  # windows only
+    asked.clear()
+    assert codec.long_word(b"-" * 5000).split() == [b"%d" % i for i in tik.encode_ordinary("-" * 5000)]
+    assert (True, 5000) in asked
+
+
+def test_long_words_take_linear_time(tik, libraries):
+    """A word of a megabyte; twice the length takes about twice the time."""
+    import time
+
+    took = []
+    for n in (125_000, 250_000):
+        word = "".join(np.random.default_rng(n).choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+        began = time.process_time()
+        ids = libraries[0].long_word(word.encode())
+        took.append(time.process_time() - began)
+        assert ids.split() == [b"%d" % i for i in tik.encode_ordinary(word)]
+    assert took[1] < 3 * took[0] + 1
+    for word in ("=" * 1_000_000, "é漢" * 200_000):
+        began = time.process_time()
+        ids = libraries[0].long_word(word.encode())
+        assert time.process_time() - began < 90 and ids.split() == [b"%d" % i for i in tik.encode_ordinary(word)]
+
+
+def _falling(tmp_path):
     words = [bytes([i]) for i in range(256)] + [b"ab", b"xab", b"aba"]
     order = {w: i for i, w in enumerate(words)} | {b"xab": 256, b"ab": 257}
     (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(w) + b" %d\n" % i for w, i in order.items()))
-    codec = bpe.Codec(str(tmp_path / "ranks"), ".+")
     import tiktoken
 
-    tik = tiktoken.Encoding("falls", pat_str=".+", mergeable_ranks=order, special_tokens={})
-    for t in ("xabab" * 60, "abab" * 90, "ba" * 150 + "xab" * 70):
+    return bpe.Codec(str(tmp_path / "ranks"), ".+"), tiktoken.Encoding("falls", pat_str=".+", mergeable_ranks=order, special_tokens={})
+
+
+def test_ranks_that_fall(tmp_path):
+    """A vocabulary in which a merge makes a pair of a lower rank: both queries take that pair first."""
+    codec, tik = _falling(tmp_path)
+    for t in ("xabab" * 60, "abab" * 90, "ba" * 150 + "xab" * 70, "xab" * 3, "abxab" * 41):
         assert codec.encode([t])[0].tolist() == tik.encode_ordinary(t)
+        assert codec._whole(t.encode()).split() == [b"%d" % i for i in tik.encode_ordinary(t)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab-= 0x", min_size=1, max_size=40))
+def test_whole_words_equal_the_library(tik, libraries, text):
+    for word in libraries[0].split(text):
+        assert libraries[0]._whole(word.encode()).split() == [b"%d" % i for i in tik.encode_ordinary(word)]
 
 
 def test_bpe_digests(docs, odd, empty, plain, tik):

@@ -4,10 +4,11 @@ Encoding: the pattern splits a text into words. Each word that is not yet known
 recursive query unnests the lists to token-position rows, joins adjacent tokens with the merge table (left, right, rank), contracts each word's leftmost pair of
 minimum rank, and repeats until no word has a pair left. The minimum is a hash aggregate, so no step sorts. Merge ranks are those of the concatenated bytes, as for rank files.
 
-Words of more than ``LONG`` bytes take a second recursive query, whose step contracts all occurrences of a word's minimum rank, from left to right
-and without overlap, and which keeps the latest tokens of a word only, so that its steps are as many as the ranks merged and its memory that of the words. The result is the
-same as long as no merge makes a pair of a lower rank. The query sees that for the pairs of each step, and the loading of the ranks tests it for a merged token
-beside the first half of its next occurrence; a word for which it does not hold goes through the first query again.
+Words of more than ``LONG`` bytes are contracted in windows of ``WINDOW`` bytes that overlap by half. Where two neighbouring windows have a token in common, the word's tokens are those of the one up to this
+token and those of the other after it: a contraction of the whole word never crosses an end of that token, since, from one of its ends to the far side of a window, it takes the same steps
+as that window's. Windows without a common token are joined to one; a word in which many have none, as a repeated character's, takes a query of its own.
+That one contracts a word's minimum rank at all its places in a step, from left to right and without overlap, up to the first place where the new token makes a pair of a lower
+rank with the token beside it, which then comes first. Its steps are about as many as the ranks merged, and it keeps the latest tokens only; its memory limit follows the word's length.
 
 Decoding: a query joins (sequence, position, token) rows with the vocabulary and aggregates the tokens' bytes in
 order of position. A sequence of identifiers is first cut into parts at white space and punctuation (decoding is the concatenation of its
@@ -20,7 +21,6 @@ encoded again; an empty table gives no rows; columns besides those named are ign
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -31,9 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, claim, slices, texts, trimmed
+from .common import Memo, claim, slices, texts, trimmed, uncollected
 
-LONG = 200
+#: Bytes of a word from which it is cut into windows, of a window at least, and of a window that is not joined with another any more.
+LONG, WINDOW, WIDEST = 200, 192, 1500
+#: Sum of the squared bytes of the windows in one query.
+SQUARES = 20_000_000
+#: Bytes of memory of the database, and of that for each byte of a word that is contracted whole.
+MEMORY, MEMORY_OF_BYTE = 128_000_000, 1000
 #: Entries of a generation of the two memos, and bytes of new words in one query.
 ENCODED, DECODED, CHUNK = 500_000, 400_000, 100_000
 #: Characters (or identifiers) of the rows that are worked on at once, one row at least.
@@ -42,20 +47,19 @@ GROUP = 1_000_000
 _START = "SELECT word, CASE WHEN token IS NULL THEN tokens ELSE [token] END AS tokens FROM symbols LEFT JOIN vocabulary USING (raw)"
 
 _RESULT = """
-SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex, any_value(fell) AS fell
-FROM (SELECT word, fell, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step {where}) JOIN vocabulary USING (token)
+SELECT word, string_agg(digits, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
+FROM (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step {where}) JOIN vocabulary USING (token)
 GROUP BY word ORDER BY word
 """
 
 _ENCODE = f"""
-WITH RECURSIVE step(word, tokens, done, fell) AS (
-    SELECT *, len(tokens) = 1, false FROM ({_START})
+WITH RECURSIVE step(word, tokens, done) AS (
+    SELECT *, len(tokens) = 1 FROM ({_START})
     UNION ALL
     SELECT
         word,
         CASE WHEN best IS NULL THEN tokens ELSE list_concat(tokens[:(best & 4294967295) - 1], [(best >> 32)::INTEGER], tokens[(best & 4294967295) + 2:]) END,
-        best IS NULL,
-        false
+        best IS NULL
     FROM (SELECT * FROM step WHERE NOT done) LEFT JOIN (
         SELECT word, min((m.rank::BIGINT << 32) | s.pos) AS best
         FROM (SELECT word, unnest(range(1, len(tokens))) AS pos, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r FROM step WHERE NOT done) s
@@ -67,18 +71,30 @@ WITH RECURSIVE step(word, tokens, done, fell) AS (
 """
 
 _ENCODE_LONG = f"""
-WITH RECURSIVE step(word, tokens, last, fell) USING KEY (word) AS (
-    SELECT *, -1, false FROM ({_START})
+WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
+    {_START}
     UNION
-    SELECT word, list(token ORDER BY pos), any_value(least), any_value(least < last) FROM (
+    SELECT word, list(token ORDER BY pos) FROM (
         WITH rows AS MATERIALIZED (
-            SELECT word, last, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos, unnest(list_append(tokens[2:], NULL)) AS r FROM step WHERE NOT fell
+            SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos,
+                unnest(list_append(tokens[2:], NULL)) AS r, unnest(list_concat(tokens[3:], [NULL, NULL])) AS after, unnest(list_prepend(NULL, tokens[:-2])) AS before
+            FROM step
         ),
-        pairs AS MATERIALIZED (SELECT word, pos, rank FROM rows JOIN merges m ON m.l = token AND m.r = rows.r),
+        pairs AS MATERIALIZED (SELECT word, pos, after, before, rank FROM rows JOIN merges m ON m.l = token AND m.r = rows.r),
         least AS (SELECT word, min(rank) AS rank FROM pairs GROUP BY word),
-        hits AS (SELECT word, pos, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM pairs JOIN least USING (word, rank)),
-        taken AS MATERIALIZED (SELECT word, pos FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1)
-        SELECT rows.word, rows.pos, last, least.rank AS least, CASE WHEN taken.pos IS NULL THEN rows.token ELSE least.rank END AS token
+        hits AS (SELECT word, pos, rank, after, before, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM pairs JOIN least USING (word, rank)),
+        every AS MATERIALIZED (
+            SELECT word, pos, rank, after, CASE WHEN row_number() OVER (PARTITION BY word, run ORDER BY pos) > 1 THEN rank ELSE before END AS before
+            FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
+        ),
+        stops AS (
+            SELECT word, min(pos) AS last FROM (
+                SELECT word, pos FROM every JOIN merges m ON m.l = every.rank AND m.r = after WHERE m.rank < every.rank
+                UNION ALL SELECT word, pos FROM every JOIN merges m ON m.l = before AND m.r = every.rank WHERE m.rank < every.rank
+            ) GROUP BY word
+        ),
+        taken AS MATERIALIZED (SELECT word, pos, rank FROM every LEFT JOIN stops USING (word) WHERE last IS NULL OR pos <= last)
+        SELECT rows.word, rows.pos, coalesce(taken.rank, rows.token) AS token
         FROM rows JOIN least ON rows.word = least.word LEFT JOIN taken ON taken.word = rows.word AND taken.pos = rows.pos
         WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.word = rows.word AND t.pos = rows.pos - 1)
     ) GROUP BY word
@@ -107,15 +123,15 @@ class Codec:
         #: A part is cut before a token that begins with white space, and on both sides of one without letters or digits.
         self.opens, self.closes = np.zeros((2, max(ranks.values()) + 1), bool)
         made: tuple[array, array, array] = array("i"), array("i"), array("i")
-        self.ordered = True
+        self.lengths = {str(i).encode(): len(b) for b, i in ranks.items()}
+        self.window = max(WINDOW, 2 * (max(map(len, ranks)) // 2 + 1))  # longer than any token, so that none stands for a window
         for b, i in ranks.items():
             self.opens[i], self.closes[i] = b[:1].isspace(), b.isascii() and not any(c.isalnum() for c in b.decode())
             for k in range(1, len(b)):
                 if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None:
                     for column, x in zip(made, (left, right, i), strict=True):
                         column.append(x)
-                    self.ordered &= ranks.get(b + b[:k], i) >= i
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "max_temp_directory_size": "0KB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "max_temp_directory_size": "0KB"})
         merges = dict(zip(("l", "r", "rank"), (pa.array(np.frombuffer(x, np.int32)) for x in made), strict=True))
         vocabulary = {"token": pa.array(ranks.values(), pa.int32()), "raw": pa.array(ranks.keys(), pa.binary())}
         for name, columns, more in (("merges", merges, ""), ("vocabulary", vocabulary, ", token::VARCHAR AS digits, lower(hex(raw)) AS hex")):
@@ -131,40 +147,99 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, words: list[bytes], query: str) -> tuple[list[str], list[str]]:
+    def _contract(self, words: list[bytes], query: str = _ENCODE) -> tuple[list[str], list[str]]:
         """Identifiers in decimal, and decoded bytes in hexadecimal, of each word."""
         ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)))
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
-        ids, hex_, fell = self._query("symbols", pa.table({"word": pa.array(range(len(words)), pa.int32()), "raw": pa.array(words, pa.binary()), "tokens": tokens}), query)
-        for i in compress(range(len(words)), fell):
-            (ids[i],), (hex_[i],) = self._contract([words[i]], _ENCODE)
-        return ids, hex_
+        return self._query("symbols", pa.table({"word": pa.array(range(len(words)), pa.int32()), "raw": pa.array(words, pa.binary()), "tokens": tokens}), query)
+
+    def _whole(self, word: bytes) -> bytes:
+        """Identifiers of a word by the query for words of few ranks; the database may hold what the word needs."""
+        need = MEMORY_OF_BYTE * len(word)
+        if need > MEMORY:
+            self.db.execute(f"SET memory_limit = '{need}B'")
+        try:
+            return self._contract([word], _ENCODE_LONG)[0][0].encode()
+        finally:
+            if need > MEMORY:
+                self.db.execute(f"SET memory_limit = '{MEMORY}B'")
+
+    def _windows(self, word: bytes, spans: list[tuple[int, int]]) -> list[list[tuple[int, int, bytes]]]:
+        """``start, end, identifier`` of each token of parts of a word."""
+        out, at, size = [], 0, 0
+        for k, (a, b) in enumerate(spans):
+            size += (b - a) ** 2  # the query keeps the tokens of all its steps
+            if size > SQUARES or k + 1 == len(spans):
+                for (start, _), ids in zip(spans[at : k + 1], self._contract([word[x:y] for x, y in spans[at : k + 1]])[0], strict=True):
+                    tokens = ids.encode().split()
+                    ends = np.cumsum([start, *map(self.lengths.__getitem__, tokens)]).tolist()
+                    out.append(list(zip(ends[:-1], ends[1:], tokens, strict=True)))
+                at, size = k + 1, 0
+        return out
+
+    def long_word(self, word: bytes) -> bytes:
+        """Identifiers of a word of more than ``LONG`` bytes, in decimal."""
+        if len(word) <= self.window:
+            return self._whole(word)
+        step = self.window // 2
+        spans = [(k, k + self.window) for k in range(0, len(word) - self.window, step)] + [(len(word) - self.window, len(word))]
+        tokens = self._windows(word, spans)
+        while True:
+            out: list[bytes] = []
+            apart, at = [], 0  # windows that have no token in common with the next, and where the tokens of ``out`` end
+            for k in range(len(spans) - 1):
+                mine = {(a, b) for a, b, _ in tokens[k] if a >= at}
+                common = next((b for a, b, _ in tokens[k + 1] if (a, b) in mine), None)
+                if common is None:
+                    apart.append(k)
+                    common = spans[k + 1][0]
+                out += [i for a, b, i in tokens[k] if at <= a and b <= common]
+                at = common
+            if not apart:
+                return b" ".join(out + [i for a, _, i in tokens[-1] if a >= at])
+            wide = max(b - a for a, b in spans)
+            if wide > WIDEST or 8 * len(apart) > len(spans) > 8:
+                return self._whole(word)
+            joined, made, k = [], [], 0
+            gone = set(apart)
+            while k < len(spans):
+                first = k
+                while k in gone:
+                    k += 1
+                joined.append((spans[first][0], spans[k][1]))
+                made.append(tokens[k] if first == k else None)
+                k += 1
+            fresh = iter(self._windows(word, [s for s, t in zip(joined, made, strict=True) if t is None]))
+            spans, tokens = joined, [t if t is not None else next(fresh) for t in made]
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that the memo lacks."""
         memo = self.encoded.now
-        short: list[tuple[str, bytes]] = []
-        long: list[tuple[str, bytes]] = []
-        held = {id(short): 0, id(long): 0}
+        chunk: list[tuple[str, bytes]] = []
+        held = 0
 
-        def flush(chunk: list[tuple[str, bytes]]) -> None:
+        def flush() -> None:
             if chunk:
                 self.decoded.room(len(chunk))
-                for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk], _ENCODE if chunk is short else _ENCODE_LONG), strict=True):
+                for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk]), strict=True):
                     memo[w] = ids = ids.encode()
                     self.decoded.now[ids] = bytes.fromhex(hex_)
                 chunk.clear()
-                held[id(chunk)] = 0
 
         for w in words:
             b = w.encode()
-            chunk = long if self.ordered and len(b) > LONG else short
+            if len(b) > LONG:
+                ids = self.long_word(b)
+                self.decoded.room(1)
+                self._learn_parts([ids])
+                memo[w] = ids
+                continue
             chunk.append((w, b))
-            held[id(chunk)] += len(b)
-            if held[id(chunk)] > CHUNK:
-                flush(chunk)
-        flush(short)
-        flush(long)
+            held += len(b)
+            if held > CHUNK:
+                flush()
+                held = 0
+        flush()
 
     @staticmethod
     def _looked_up(rows: list[list], memo: Memo, learn: Callable[[list], None]) -> list[list[bytes]]:
@@ -260,16 +335,15 @@ def digests(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", GROUP):
             n, ids_sha, text_sha = [], [], []
-            gc.disable()  # millions of small objects and no cycles among them
-            c = codec(path, pattern, memo)
-            encoded = c.encode_words(part.column("text").to_pylist())
-            for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
-                ids = b" ".join(words)
-                n.append(ids.count(b" ") + bool(ids))
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(raw).hexdigest())
-            del encoded, words, raw, ids
-            gc.enable()
+            with uncollected():  # millions of small objects and no cycles among them
+                c = codec(path, pattern, memo)
+                encoded = c.encode_words(part.column("text").to_pylist())
+                for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
+                    ids = b" ".join(words)
+                    n.append(ids.count(b" ") + bool(ids))
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(raw).hexdigest())
+                del encoded, words, raw, ids
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,16 @@ def trim() -> None:
         pass
 
 
+@contextmanager
+def uncollected():
+    """Without collection of cycles, whatever happens inside: a worker that is used again must collect."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 _owner: list = [None, None]
 
 

@@ -16,7 +16,6 @@ columns besides ``doc_id`` and ``text`` are ignored whatever their names.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 import zlib
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, slices, texts, trimmed
+from .common import Memo, claim, slices, texts, trimmed, uncollected
 
 BLOCK = 1_000_000
 #: Most bytes of text in a file, unless one document has more, and least before a file of its own is worth while.
@@ -287,9 +286,8 @@ def token_blocks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.int64()), listed, pa.array([payload], pa.binary())], ["file", "block", "n_ids", "doc_ids", "payload"])
 
         for part in slices(batches, "text", GROUP):
-            gc.disable()  # many small objects and no cycles among them
-            flat, n = enc.encode(part.column("text"))
-            gc.enable()
+            with uncollected():  # many small objects and no cycles among them
+                flat, n = enc.encode(part.column("text"))
             flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
             at, done = np.concatenate(([0], np.cumsum(n))), 0
             while done < len(n):  # to the document that fills the block
