@@ -69,7 +69,8 @@ class Aligner:
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         self.raw_b = [bytes([int(p[1:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_a, self.size_b = len(self.raw_a), len(self.raw_b)
+        self.size_b = len(self.raw_b)
+        self.digits = list(map(str, range(max(len(self.raw_a), self.size_b))))
         self.len_a, self.len_b = (np.array(list(map(len, raw))) for raw in (self.raw_a, self.raw_b))
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -92,33 +93,32 @@ class Aligner:
 
     def encoded(self, text: str) -> tuple[list[int], list[int], bool]:
         """Both identifiers' lists of a text that begins with a space, and whether both give its bytes back."""
-        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+        ids_a, ids_b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
         raw = text.encode()
         return ids_a, ids_b, b"".join(map(self.raw_a.__getitem__, ids_a)) == raw == b"".join(map(self.raw_b.__getitem__, ids_b))
 
     def merged(self, ids_a: list[int], ids_b: list[int], cuts: Iterable[int]) -> Iterator[tuple[int, bytes, bytes]]:
         """Memo entries of the segments that end at ``cuts``, at each of which both have a token's end."""
         ends_a, ends_b = (np.cumsum(n[ids]).tolist() for n, ids in ((self.len_a, ids_a), (self.len_b, ids_b)))
+        size, digits = self.size_b, self.digits
+        high, text_a, text_b = [i * size for i in ids_a], [digits[i] for i in ids_a], [digits[i] for i in ids_b]
         i = j = 0
-        size = self.size_b
         for cut in cuts:
             from_a, from_b, start_a, start_b = i, j, i, j
-            groups, links = [], array("q")
-            while True:
-                links.append(ids_a[i] * size + ids_b[j])
-                end, other = ends_a[i], ends_b[j]
-                if end < other:
+            groups, links, end = [], [], 0
+            while end < cut:
+                links.append(high[i] + ids_b[j])
+                last, other = ends_a[i], ends_b[j]
+                if last < other:
                     i += 1
-                elif end > other:
+                elif last > other:
                     j += 1
                 else:
                     i += 1
                     j += 1
-                    groups.append(f"{','.join(map(str, ids_a[start_a:i]))}|{','.join(map(str, ids_b[start_b:j]))}")
-                    start_a, start_b = i, j
-                    if end >= cut:
-                        break
-            yield (i - from_a) + (j - from_b << BITS) + (len(groups) << 2 * BITS), ";".join(groups).encode(), links.tobytes()
+                    groups.append(f"{text_a[start_a] if i - start_a == 1 else ','.join(text_a[start_a:i])}|{text_b[start_b] if j - start_b == 1 else ','.join(text_b[start_b:j])}")
+                    start_a, start_b, end = i, j, last
+            yield (i - from_a) + (j - from_b << BITS) + (len(groups) << 2 * BITS), ";".join(groups).encode(), array("q", links).tobytes()
 
     def _alone(self, literal: str) -> tuple:
         guard = "" if literal[0] == " " else " a"
