@@ -19,6 +19,7 @@ empty table gives no rows, or zeros; other columns are ignored whatever their na
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,11 @@ def events(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple
     return out.unionByName(row(s.filter(~told).withColumn("x", F.lit(FIRST)), SOLD)).unionByName(row(s.withColumn("x", t), PROBE))
 
 
+def for_windows(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """``rows`` for each window, its number in ``w``."""
+    return reduce(DataFrame.unionByName, (rows.withColumn("w", F.lit(w)) for w in range(len(windows))))
+
+
 def unions(lines: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """``client, width, w, x, end``: for each item and window the unions of its lines' intervals from x to ts + d.
 
@@ -86,7 +92,7 @@ def unions(lines: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     one for each beginning. What is left is run through in order of beginnings: an item has as many rows there as quarter days, not lines.
     """
     d = F.element_at(F.array(*(F.lit(w * DAY) for w in windows)), F.col("w") + 1)
-    each = lines.select("client", "width", "id", "x", "ts", F.explode(F.array(*map(F.lit, range(len(windows))))).alias("w")).withColumn("end", F.col("ts") + d).filter("x < end")
+    each = for_windows(lines.select("client", "width", "id", "x", "ts"), windows).withColumn("end", F.col("ts") + d).filter("x < end")
     quarter = F.col("ts") - F.pmod("ts", F.lit(QUARTER))
     each = each.select("client", "width", "id", "w", "x", "end", quarter.alias("quarter"), F.when(F.col("x") >= quarter + d, F.col("x")).alias("late"))
     parts = each.groupBy("client", "width", "id", "w", "quarter", "late").agg(F.min("x").alias("x"), F.max("end").alias("end"))
@@ -107,14 +113,14 @@ def running(rows: DataFrame, keys: list[str], at: str, columns: dict[str, str],
     big = big.select(*keys, "_big", *(fn[f](c).over(outer).alias(f"_{c}") for c, f in columns.items()))
     near = rows.select(*keys, at, "_big", *(c for c in rows.columns if c not in (*keys, at, "_big", *columns)), *(fn[f](c).over(inner).alias(c) for c, f in columns.items()))
     both = lambda c, f: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0)) if f == "sum" else F.greatest(c, f"_{c}")
-    out = near.join(big, [*keys, "_big"])
+    out = near.join(big.hint("merge"), [*keys, "_big"])
     return out.select(*(c for c in near.columns if c not in columns and c != "_big"), *(both(c, f).alias(c) for c, f in columns.items()))
 
 
 def cut(hot: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """``ROWS`` of the clients that are cut. ``hot``: events with their client's ``width``."""
     cell = lambda c: ((c - F.pmod(c, "width")) / F.col("width")).cast("long")
-    every, n = (1 << len(windows)) - 1, len(windows)
+    every = (1 << len(windows)) - 1
     zero, one, none = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(NO_ID)
     row = lambda df, c, kind, mask, x, ts, n=zero, p=zero, v=zero, id_=none: df.select("client", c.alias("cell"), *(y.cast("int").alias(name) for y, name in ((kind, "kind"), (mask, "mask"))), *(y.cast("long").alias(name) for y, name in ((x, "x"), (ts, "ts"), (n, "n"), (p, "p"), (v, "v"), (id_, "id"))))
     col, first, last = F.col, F.lit(FIRST), F.lit(LAST)
@@ -127,7 +133,7 @@ def cut(hot: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     base = stage(single.unionByName(summed).unionByName(items), "cut")
     starts = row(base, cell(col("x")), col("kind"), col("mask"), col("x"), col("ts"), col("n"), col("p"), col("v"), col("id"))
 
-    each = base.select("*", F.explode(F.array(*map(F.lit, range(n)))).alias("w")).filter(F.expr("mask & shiftleft(1, w)") != 0).withColumn("end", col("ts") + d)
+    each = for_windows(base, windows).filter(F.expr("mask & shiftleft(1, w)") != 0).withColumn("end", col("ts") + d)
     each = each.filter("x < end").withColumns({"cell": cell(col("end")), "entered": cell(col("x"))}).filter("cell > entered")
     sums = [F.sum(c).alias(c) for c in ("n", "p", "v")]
     ends = stage(each.groupBy("client", "cell", "entered", "w", "kind", "ts").agg(*sums), "ends")
@@ -137,7 +143,7 @@ def cut(hot: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     asked = probes.select("client", cell(col("x")).alias("cell")).distinct()
     net = ends.groupBy("client", col("entered").alias("cell"), "w", "kind").agg(*sums, *(zero.alias(f"gone_{c}") for c in "npv"))
     gone = ends.groupBy("client", "cell", "w", "kind").agg(*(F.sum(-col(c)).alias(c) for c in "npv"), *(F.sum(c).alias(f"gone_{c}") for c in "npv"))
-    open_ = asked.select("client", "cell", F.explode(F.array(*map(F.lit, range(n)))).alias("w"), *(zero.alias(c) for c in (*"npv", *(f"gone_{c}" for c in "npv")))).withColumn("kind", F.explode(F.array(*map(F.lit, COLUMN))))
+    open_ = for_windows(asked.select("client", "cell", *(zero.alias(c) for c in (*"npv", *(f"gone_{c}" for c in "npv")))), windows).withColumn("kind", F.explode(F.array(*map(F.lit, COLUMN))))
     steps = net.withColumn("asks", F.lit(0)).unionByName(gone.withColumn("asks", F.lit(0))).unionByName(open_.withColumn("asks", F.lit(1)))
     steps = steps.groupBy("client", "cell", "w", "kind").agg(*(F.sum(c).alias(c) for c in (*"npv", *(f"gone_{c}" for c in "npv"))), F.max("asks").alias("asks"))
     carry = running(steps, ["client", "w", "kind"], "cell", dict.fromkeys("npv", "sum")).filter("asks = 1")
@@ -145,11 +151,11 @@ def cut(hot: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
 
     click = hot.filter(col("kind") == CLICK).groupBy("client", cell(col("x")).alias("cell")).agg(F.max(F.struct("ts", "id")).alias("click"))
     seen = asked.join(click, ["client", "cell"], "full").select("client", "cell", "click")
-    latest = running(seen, ["client"], "cell", {"click": "max"}).filter("click IS NOT NULL").join(asked, ["client", "cell"], "left_semi")
+    latest = running(seen, ["client"], "cell", {"click": "max"}).filter("click IS NOT NULL").join(asked.hint("merge"), ["client", "cell"], "left_semi")
     latest = row(latest, col("cell"), F.lit(CLICK), F.lit(every), first, col("click.ts"), id_=col("click.id"))
     sold = hot.filter(col("kind").isin(SALE, SOLD)).select("client", cell(col("ts")).alias("cell"), "ts")
     soonest = asked.join(sold.groupBy("client", "cell").agg(F.min("ts").alias("ts")), ["client", "cell"], "full").select("client", "cell", (-col("ts")).alias("ts"))
-    soonest = running(soonest, ["client"], "cell", {"ts": "max"}, forward=False).filter("ts IS NOT NULL").join(asked, ["client", "cell"], "left_semi")
+    soonest = running(soonest, ["client"], "cell", {"ts": "max"}, forward=False).filter("ts IS NOT NULL").join(asked.hint("merge"), ["client", "cell"], "left_semi")
     soonest = row(soonest, col("cell"), F.lit(SOLD), F.lit(0), first, -col("ts"))
     here = row(sold.distinct(), col("cell"), F.lit(SOLD), F.lit(0), first, col("ts"))
     out = starts
@@ -308,16 +314,21 @@ def shard_features(rows: dict[str, np.ndarray], windows: tuple[int, ...] = WINDO
 def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...] = WINDOWS, label_days: int = LABEL, most: int = CELL, chunk: int = CHUNK) -> DataFrame:
     """``FEATURES`` of every sale with a client and a time, a row for each window."""
     rows = stage(events(clicks, sales, lines, windows), "events")
-    many = stage(rows.groupBy("client").count().filter(F.col("count") > most).select("client"), "many")
-    cold = rows
-    if not many.isEmpty():
-        fullest = rows.join(many, "client", "left_semi").groupBy("client", F.floor(F.when(F.col("kind") == SOLD, F.col("ts")).otherwise(F.col("x")) / DAY).alias("day")).count().groupBy("client").agg(F.max("count").alias("n"))
-        width = stage(fullest.select("client", F.greatest(F.lit(1), F.floor(F.lit(DAY * most) / F.col("n"))).cast("long").alias("width")), "width")
-        cold = rows.join(many, "client", "left_anti")
-    ones = F.when(F.col("kind") < ITEM, 1).otherwise(0)
-    out = cold.select("client", F.lit(0).cast("long").alias("cell"), F.col("kind").cast("int").alias("kind"), (ones * ((1 << len(windows)) - 1)).cast("int").alias("mask"), "x", "ts", ones.cast("long").alias("n"), "p", "v", F.when(F.col("kind") == SALE, F.lit(NO_ID)).otherwise(F.col("id")).alias("id"))
-    if cold is not rows:
-        out = out.unionByName(cut(stage(rows.join(width, "client"), "hot"), windows))
+    kind, n = F.col("kind"), len(windows)
+    # What an event comes to where its client is cut: itself, its leave of each window, and, of lines, as much for the item in each window.
+    weight = F.when(kind == LINE, 1 + 3 * n).when(kind < ITEM, 1 + n).otherwise(1)
+    days = rows.groupBy("client", F.floor(F.when(kind == SOLD, F.col("ts")).otherwise(F.col("x")) / DAY).alias("day")).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+    many = days.groupBy("client").agg(F.sum("n").alias("n"), F.max("weight").alias("weight")).filter(F.col("n") > most)
+    width = stage(many.select("client", F.greatest(F.lit(1), F.floor(F.lit(DAY * most) / F.col("weight"))).cast("long").alias("width")), "width")
+    cold, hot = rows, None
+    if not width.isEmpty():
+        # A plain join, which Spark splits where a client is hot; the clients that are cut grow with the input, so they are not broadcast.
+        placed = stage(rows.join(width.hint("merge"), "client", "left"), "placed")
+        cold, hot = placed.filter("width IS NULL"), placed.filter("width IS NOT NULL")
+    ones = F.when(kind < ITEM, 1).otherwise(0)
+    out = cold.select("client", F.lit(0).cast("long").alias("cell"), kind.cast("int").alias("kind"), (ones * ((1 << n) - 1)).cast("int").alias("mask"), "x", "ts", ones.cast("long").alias("n"), "p", "v", F.when(kind == SALE, F.lit(NO_ID)).otherwise(F.col("id")).alias("id"))
+    if hot is not None:
+        out = out.unionByName(stage(cut(hot, windows), "cells"))
     dealt = out.select(*ROWS).repartition("client", "cell").sortWithinPartitions("client", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
