@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinfold import queries as engine
 from twinfold.model import Options
-from twinfold.operators import maintain, scan, verify
+from twinfold.operators import classes, maintain, scan, verify
 from twinfold.sources.corpus import document_files, files_from
 from twinfold.sources.tree import tree
 
@@ -79,7 +79,7 @@ def test_listing_is_linear(spark):
     # ids 1 to 9 are nine links of one inode; id 0 has the other content and that inode too
     assert {r["n_duplicates"]: r["count"] for r in unique} == {n * 99 // 100 - 1: n * 99 // 100 - 9, n * 99 // 100 - 9: 9, n // 100 - 1: n // 100}
     assert maintain.refresh(m, f.filter("inode >= 0")).count() == n - 10
-    assert scan.byte_equal(f.limit(1000)).count() == 998
+    assert classes.byte_equal(f.limit(1000)).count() == 998
 
 
 def test_labels_equal_pairs(spark, sf_dir):

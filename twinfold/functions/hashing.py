@@ -8,12 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.functions.paths import raw_of
+from twinfold.functions.extents import read_range
 from twinfold.model import ALGORITHMS
 
 #: Fixed value: the long whose XXH64 under Spark's seed 42 is 1; chaining it makes the seed of the next column 1.
 SEED_ONE = -7682426122119481604
-READ = 1 << 20
 #: Files whose digests are sent on at once.
 FILES = 1000
 
@@ -40,34 +39,12 @@ def dump(path: Column, hash_: Column) -> Column:
     return F.concat(path, F.lit(": "), F.regexp_replace(F.lower(F.hex(hash_)), "(..)", "$1 "))
 
 
-def _hasher(alg: str):
-    import hashlib
-
-    if alg == "xxhash":
-        import xxhash
-
-        return xxhash.xxh64(seed=1)
-    return hashlib.new(alg)
-
-
 def file_digest(path: str, alg: str, size: int | None = None, most: int | None = None, skip: int = 0) -> bytes | None:
-    """Of a file on disk, read in pieces, or of ``most`` bytes after the first ``skip``; None if it cannot be read or is shorter than ``size``."""
-    h, left, total = _hasher(alg), most, 0
-    try:
-        with open(raw_of(path), "rb") as f:
-            f.seek(skip)
-            while left is None or left > 0:
-                piece = f.read(READ if left is None else min(READ, left))
-                if not piece:
-                    break
-                h.update(piece)
-                total += len(piece)
-                left = None if left is None else left - len(piece)
-    except OSError:
-        return None
-    if size is not None and total < min(max(0, size - skip), size if most is None else most):
+    """Of a file on disk, read in pieces and without its holes, or of ``most`` bytes after the first ``skip``; None if it cannot be read or is shorter than ``size``."""
+    out, covered, _ = read_range(path, alg, skip, most)
+    if size is not None and covered < min(max(0, size - skip), size if most is None else most):
         return None
-    return h.digest()[::-1] if alg == "xxhash" else h.digest()
+    return out
 
 
 def hash_files(files: DataFrame, alg: str, most: int | None = None, skip: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 FILES = "root string, path string, dir string, name string, kind string, size long, inode long, dev long, ctime long"
 DUPLICATES = "id long, count int, each_size long, paths array<string>"
 MEMBERS = "id long, each_size long, path string"
-META = "hidden boolean, version string, dbtime long, hardlinks string"
+META = "hidden boolean, version string, dbtime long, hardlinks string, buckets int"
 CACHE = "path string, size long, ctime long, alg string, hash binary"
 
 #: Digest algorithms with their codes and widths in bytes.
@@ -32,8 +32,9 @@ class Options:
     one_file_system: bool = False
     hardlink_is_unique: bool = False
     skip_separator: bool = True
-    #: Bytes of the prefix stages before the full digest; empty: none.
+    #: Bytes of the prefix stages before the full digest; empty: none. They are for files on disk; ``column_rounds`` makes them for contents in a column too, which are then read twice.
     prefixes: tuple[int, ...] = (65536,)
+    column_rounds: bool = False
     use_cache: bool = True
     cache_min_size: int = 524288
 

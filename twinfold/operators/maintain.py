@@ -12,7 +12,7 @@ from twinfold.functions.paths import shell_quoted
 from twinfold.model import CACHE, Options
 from twinfold.operators.scan import as_sets, members, set_counts, shared
 from twinfold.operators.verify import present
-from twinfold.plans.store import HashCache
+from twinfold.plans.store import HashCache, one_hash
 
 
 def refresh(sets: DataFrame, now: DataFrame) -> DataFrame:
@@ -61,10 +61,7 @@ def upserted(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """The cache with new rows (same columns). Rows of a file whose size or change time differ are dropped; two hashes for one file and algorithm are an error."""
     changed = fresh.select("path", F.col("size").alias("s"), F.col("ctime").alias("t")).distinct()
     stale = cache.join(changed, "path").filter((F.col("size") != F.col("s")) | (F.col("ctime") != F.col("t"))).select("path").distinct()
-    both = cache.join(stale, "path", "left_anti").unionByName(fresh)
-    out = both.groupBy("path", "size", "ctime", "alg").agg(F.min("hash").alias("hash"), F.max("hash").alias("_other"))
-    check = F.when(F.col("hash") != F.col("_other"), F.raise_error(F.concat(F.lit("cached hash differs: "), F.col("path"))).cast("binary")).otherwise(F.col("hash"))
-    return out.select("path", "size", "ctime", "alg", check.alias("hash"))
+    return one_hash(cache.join(stale, "path", "left_anti").unionByName(fresh))
 
 
 def hash_one(path: str, alg: str = "xxhash", cache: DataFrame | None = None) -> bytes:
@@ -82,12 +79,13 @@ def hash_one(path: str, alg: str = "xxhash", cache: DataFrame | None = None) ->
 
 
 def hash_and_save(path: str, store: HashCache, alg: str = "xxhash", min_size: int = Options.cache_min_size) -> bytes:
-    """The digest of one file; a file of more than ``min_size`` bytes is looked up in the cache and saved there."""
-    s, cache = os.stat(path), store.load()
+    """The digest of one file; a file of more than ``min_size`` bytes is looked up in the cache, by a point read, and saved there as one more row."""
+    s = os.stat(path)
     if s.st_size <= min_size:
         return hash_one(path, alg)
-    out = hash_one(path, alg, cache)
-    row = (path, s.st_size, int(s.st_ctime), alg, bytearray(out))
-    if not cache.filter((F.col("path") == path) & (F.col("size") == s.st_size) & (F.col("ctime") == row[2]) & (F.col("alg") == alg)).count():
-        store.save(upserted(cache, store.spark.createDataFrame([row], CACHE)))
+    state = (F.col("size") == s.st_size) & (F.col("ctime") == int(s.st_ctime)) & (F.col("alg") == alg)
+    if hit := store.lookup([path]).filter(state).first():
+        return bytes(hit["hash"])
+    out = hash_one(path, alg)
+    store.append(store.spark.createDataFrame([(path, s.st_size, int(s.st_ctime), alg, bytearray(out))], CACHE).coalesce(1))
     return out

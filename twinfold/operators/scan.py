@@ -1,19 +1,21 @@
 """The scan: one narrow table of sizes and digests, grouped.
 
-Contents are never shuffled. Content in a column is read once, in a projection that keeps its size and digest; as reading is what costs there, prefix rounds
-would only read it again and are not made. Files on disk are walked once and staged as rows of sizes; sizes that occur once are dropped
+Contents are never shuffled. Content in a column is read once, in a projection that keeps its size and digest; ``column_rounds`` asks for prefix rounds there too, which read it twice: once for the
+digests of all prefixes, kept as narrow columns, once for the digests of what is left. Files on disk are walked once and staged as rows of sizes; sizes that occur once are dropped
 before anything is opened, each prefix round opens each surviving file once and is staged, a file no longer than the prefix is done with it, and only files that still share
-their prefixes are read whole.
+their prefixes are read whole, large ones by ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from twinfold.functions.hashing import digest, hash_files
 from twinfold.functions.paths import hidden
 from twinfold.model import SEPARATOR, Options
+from twinfold.operators.membership import bloom, kept, marked, words_for
+from twinfold.operators.ranges import RANGE, tree_digests
 from twinfold.plans.staging import stage
 
 #: What a scan carries of a file besides its digest.
@@ -75,25 +77,51 @@ def same_prefix(files: DataFrame, alg: str, most: int) -> DataFrame:
 
 
 def computed(files: DataFrame, alg: str) -> DataFrame:
-    """Narrow rows with the ``hash`` of the whole content; null where it cannot be read."""
-    return files.select(*NARROW, digest(alg, F.col("content")).alias("hash")) if in_columns(files) else hash_files(files.select(*NARROW), alg)
+    """Narrow rows with the ``hash`` of the whole content; null where it cannot be read. Rows of files on disk should be staged, as they are gone through by size."""
+    return files.select(*NARROW, digest(alg, F.col("content")).alias("hash")) if in_columns(files) else disk_digests(files.select(*NARROW), alg)
 
 
-def hashed(files: DataFrame, alg: str, cache: DataFrame | None = None, cache_min_size: int = 0) -> DataFrame:
-    """Narrow rows with ``hash``: from a cache where a size group is wholly in it, else computed. Unreadable files are dropped.
+def disk_digests(rows: DataFrame, alg: str, span: int = RANGE) -> DataFrame:
+    """Narrow rows of files on disk with ``hash``: of the whole bytes up to a range's, beyond that the fold of the ranges' digests, which are read in any task."""
+    large = rows.filter(F.col("size") > span)
+    small = hash_files(spread(rows.filter(F.col("size") <= span)), alg)
+    return small if large.isEmpty() else small.unionByName(tree_digests(large, alg, span))
 
-    Content in a column is digested only where the cache does not serve, and is not joined: the served sizes come as a column of the narrow rows.
+
+def served_by(files: DataFrame, cache: DataFrame, alg: str, cache_min_size: int = 0) -> DataFrame:
+    """Narrow rows with ``hash`` of the files in size groups that a cache serves whole."""
+    known = cache.filter((F.col("alg") == alg) & (F.col("size") > cache_min_size)).select("path", "size", "ctime", "hash")
+    hits = files.select(*NARROW).join(known, ["path", "size", "ctime"], "left").select(*NARROW, "hash")
+    whole = hits.groupBy("size").agg(F.bool_and(F.col("hash").isNotNull()).alias("whole")).filter("whole").select("size")
+    return hits.join(whole, "size", "left_semi")
+
+
+def beside_cache(files: DataFrame, alg: str, served: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Narrow rows with ``hash`` of the files with content in a column that are not ``served`` (staged).
+
+    A membership filter of the served files stands beside the contents, so theirs are not digested and none moves. Files that pass the filter without being served are found on narrow rows
+    and digested by themselves. ``observation`` counts contents ``digested`` and ``spared`` in the first pass.
     """
+    key = ("path", "size", "ctime")
+    if (words := words_for(served.count())) is None:
+        return computed(files, alg).join(served.select("path"), "path", "left_anti")
+    filter_ = stage(bloom(served, words, *key), "filter")
+    rows = marked(files, filter_, words, *key).select(*NARROW, "maybe", F.when(~F.col("maybe"), digest(alg, F.col("content"))).alias("hash"))
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(~F.col("maybe")).alias("digested"), F.count_if("maybe").alias("spared"))
+    first = rows.filter(~F.col("maybe")).drop("maybe")
+    again = stage(marked(files.select(*NARROW), filter_, words, *key).filter("maybe").drop("maybe").join(served.select("path"), "path", "left_anti"), "again")
+    return first if again.isEmpty() else first.unionByName(computed(kept(files, again, "path"), alg).join(again.select("path"), "path", "left_semi"))
+
+
+def hashed(files: DataFrame, alg: str, cache: DataFrame | None = None, cache_min_size: int = 0, observation: Observation | None = None) -> DataFrame:
+    """Narrow rows with ``hash``: from a cache where a size group is wholly in it, else computed. Unreadable files are dropped; what the cache serves is not digested."""
     if cache is None:
         return computed(files, alg).filter(F.col("hash").isNotNull())
-    known = cache.filter((F.col("alg") == alg) & (F.col("size") > cache_min_size)).select("path", "size", "ctime", F.col("hash").alias("known"))
-    hits = files.select(*NARROW).join(known, ["path", "size", "ctime"], "left")
-    whole = hits.groupBy("size").agg(F.bool_and(F.col("known").isNotNull()).alias("whole")).filter("whole").select("size")
-    served = hits.join(whole, "size", "left_semi").withColumnRenamed("known", "hash").select(*NARROW, "hash")
-    if in_columns(files):  # digests of all are narrow; contents would have to move to leave some out
-        rest = computed(files, alg).join(whole, "size", "left_anti")
-    else:
-        rest = computed(files.select(*NARROW).join(whole, "size", "left_anti"), alg)
+    if not in_columns(files):
+        files = stage(files.select(*NARROW), "files")
+    served = stage(served_by(files, cache, alg, cache_min_size), "served")
+    rest = beside_cache(files, alg, served, observation) if in_columns(files) else computed(files.join(served.select("path"), "path", "left_anti"), alg)
     return served.unionByName(rest).filter(F.col("hash").isNotNull())
 
 
@@ -112,26 +140,43 @@ def _on_disk(f: DataFrame, options: Options, cache: DataFrame | None) -> DataFra
         f = shared(drop_hard_links(f), "size")
     done = []
     if cache is not None:
-        known = cache.filter((F.col("alg") == options.alg) & (F.col("size") > options.cache_min_size)).select("path", "size", "ctime", "hash")
-        hits = f.join(known, ["path", "size", "ctime"], "left").select(*NARROW, "hash")
-        whole = hits.groupBy("size").agg(F.bool_and(F.col("hash").isNotNull()).alias("whole")).filter("whole").select("size")
-        done.append(hits.join(whole, "size", "left_semi"))
-        f = f.join(whole, "size", "left_anti")
+        done.append(stage(served_by(f, cache, options.alg, options.cache_min_size), "served"))
+        f = f.join(done[0].select("path"), "path", "left_anti")
     for most in sorted(options.prefixes):
         read = stage(prefix_digests(spread(f, most), options.alg, most), f"prefix{most}")
         done.append(read.filter(F.col("size") <= most))
         f = shared(read.filter(F.col("size") > most), "size", "hash").drop("hash")
-    out = stage(computed(spread(f), options.alg), "whole")
+    out = stage(computed(f, options.alg), "whole")
     for part in done:
         out = out.unionByName(part)
     return out.filter(F.col("hash").isNotNull())
 
 
+def _column_rounds(f: DataFrame, options: Options) -> DataFrame:
+    """As ``_on_disk`` for contents in a column: one pass for all prefixes, the rounds on their digests, one pass for what is left."""
+    order = sorted(options.prefixes)
+    left = stage(f.filter(F.col("content").isNotNull()).select(*NARROW, *(digest(options.alg, F.substring("content", 1, p)).alias(f"prefix{p}") for p in order)), "prefixes")
+    left = shared(left, "size")
+    if options.hardlink_is_unique:
+        left = shared(drop_hard_links(left), "size")
+    done = []
+    for p in order:
+        done.append(left.filter(F.col("size") <= p).select(*NARROW, F.col(f"prefix{p}").alias("hash")))
+        left = shared(left.filter(F.col("size") > p), "size", f"prefix{p}")
+    left = stage(left.select(*NARROW), "left")
+    out = computed(kept(f, left, "path"), options.alg).join(left.select("path"), "path", "left_semi")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def candidates(files: DataFrame, options: Options = Options(), cache: DataFrame | None = None) -> DataFrame:
     """Narrow rows with ``hash`` of all files that may be in a duplicate set."""
     f, cache = accepted(files, options), cache if options.use_cache else None
     if not in_columns(files):
         return _on_disk(f, options, cache)
+    if options.column_rounds and options.prefixes and cache is None:
+        return _column_rounds(f, options)
     rows = hashed(f, options.alg, cache, options.cache_min_size)
     return drop_hard_links(rows) if options.hardlink_is_unique else rows
 
@@ -168,7 +213,7 @@ def members(sets: DataFrame) -> DataFrame:
 
 def singles(files: DataFrame, options: Options = Options()) -> DataFrame:
     """``path, size`` of files whose size is shared but whose content is not."""
-    rows = hashed(accepted(files, options), options.alg) if in_columns(files) else hashed(same_size(accepted(files, options)), options.alg)
+    rows = hashed(accepted(files, options) if in_columns(files) else stage(same_size(accepted(files, options)), "same_size"), options.alg)
     groups = rows.groupBy("size", "hash").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     return groups.filter("n = 1").join(size_groups(rows).select("size"), "size", "left_semi").select("path", "size")
 
@@ -220,18 +265,3 @@ def stats_lines(stats: DataFrame) -> DataFrame:
 def append_stats(stats: DataFrame, out: str) -> None:
     """Append the lines of a statistics row to the text table ``out``."""
     stats_lines(stats).coalesce(1).write.mode("append").text(out)
-
-
-def byte_equal(files: DataFrame) -> DataFrame:
-    """``first, path, size``: the files whose bytes equal those of the first path with their size and digest.
-
-    Each is compared with that one only, so the rows grow with the files. Only contents of files that share size and digest move, each once, to the
-    first of their group. A file that differs in spite of an equal digest is not reported.
-    """
-    rows = shared(computed(accepted(files, Options(hidden=True)), "sha512"), "size", "hash")
-    firsts = rows.groupBy("size", "hash").agg(F.min("path").alias("first"))
-    of = rows.join(firsts, ["size", "hash"]).select("path", "size", "first")
-    content = files.select("path", "content")
-    x = of.filter("path <> first").join(content, "path")
-    y = content.select(F.col("path").alias("first"), F.col("content").alias("other")).join(of.select("first").distinct(), "first")
-    return x.join(y, "first").filter(F.col("content") == F.col("other")).select("first", "path", "size")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.paths import cut, under
 from twinfold.model import STATUS
+from twinfold.operators.membership import kept
 from twinfold.operators.scan import NARROW, computed, in_columns, members, set_counts
+from twinfold.plans.staging import settled, stage
+from twinfold.plans.store import DuplicateStore
 
 
 def present(now: DataFrame) -> DataFrame:
@@ -21,13 +24,14 @@ def present(now: DataFrame) -> DataFrame:
 def current(now: DataFrame, wanted: DataFrame, alg: str) -> DataFrame:
     """``path, dev, inode, hash`` of the wanted paths that exist; unreadable files have no hash.
 
-    Contents do not move: those in a column are digested where they are, and files on disk are picked by path before they are read.
+    Only what is wanted is digested, and contents do not move: those in a column are picked where they are, by their paths if these are few, else by a membership filter of them. Files
+    on disk are picked by path before they are read.
     """
-    wanted = wanted.select("path").distinct()
+    wanted = stage(wanted.select("path").distinct(), "wanted")
     if in_columns(now):
-        rows = computed(present(now), alg).join(wanted, "path")
+        rows = computed(kept(present(now), wanted, "path"), alg).join(wanted, "path")
     else:
-        rows = computed(present(now).select(*NARROW).join(wanted, "path", "left_semi"), alg)
+        rows = computed(stage(present(now).select(*NARROW).join(wanted, "path", "left_semi"), "present"), alg)
     return rows.select("path", "dev", "inode", "hash")
 
 
@@ -52,7 +56,7 @@ def verified_pairs(sets: DataFrame, now: DataFrame, alg: str = "xxhash", paths:
 
     The rows are those asked for: as many as a path has candidates. Labels do not need them, see ``listing``.
     """
-    m = members(sets).select("id", "path")
+    m = settled(members(sets).select("id", "path"), "members")
     asked = m if paths is None else m.join(paths.select("path").distinct(), "path", "left_semi")
     pairs = asked.join(m.select("id", F.col("path").alias("candidate")), "id").filter("path <> candidate")
     info = current(now, m if paths is None else m.join(asked.select("id").distinct(), "id", "left_semi"), alg)
@@ -67,7 +71,8 @@ def duplicate_counts(sets: DataFrame, now: DataFrame, alg: str = "xxhash", exclu
     Counts of the set's files by digest, by inode and by both stand in for pairs. A file's duplicates are those of its digest less those that are its
     own inode, and its hard links those of its inode less itself.
     """
-    info = members(sets).select("id", "path").join(current(now, members(sets), alg), "path")
+    m = settled(members(sets).select("id", "path"), "members")
+    info = m.join(current(now, m, alg), "path")
     here = info.withColumn("counts", (~excluded(F.col("path"), exclude_path)).cast("long"))
     cells = here.groupBy("id", "hash", "dev", "inode").agg(F.sum("counts").alias("both"))
     equal = cells.filter(F.col("hash").isNotNull()).groupBy("id", "hash").agg(F.sum("both").alias("equal"))
@@ -95,7 +100,7 @@ def listing(sets: DataFrame, now: DataFrame, path: str | list[str] | None = None
     """``path, label, n_duplicates`` of every file of the tree; files that no set knows are unique."""
     files = _tree(now, path).select("path")
     if path:  # only sets of the files asked about are looked at
-        m = members(sets)
+        m = settled(members(sets), "members")
         sets = m.join(m.join(files, "path", "left_semi").select("id").distinct(), "id", "left_semi")
     counts = duplicate_counts(sets, now, alg, exclude_path, hardlink_is_unique)
     out = files.join(counts, "path", "left").withColumn("n_duplicates", F.coalesce("n", F.lit(0)))
@@ -115,6 +120,11 @@ def file_status(sets: DataFrame, now: DataFrame, path: str, alg: str = "xxhash",
     return verified_pairs(sets, now, alg, sets.sparkSession.createDataFrame([(path,)], "path string"), exclude_path)
 
 
+def file_in_store(store: DuplicateStore, now: DataFrame, path: str, alg: str = "xxhash", exclude_path: str | None = None) -> DataFrame:
+    """``file_status`` by point reads: the store's index gives the sets of the path, their members are read from their buckets, and only these files are digested."""
+    return file_status(store.candidates([path]), now, path, alg, exclude_path)
+
+
 def listing_lines(labels: DataFrame, both: bool = True, prefix: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """``path, n, line``: what ls (``both`` labels, which are then written before the path), dups or uniques print; order by path and n.
 
@@ -132,7 +142,7 @@ def listing_lines(labels: DataFrame, both: bool = True, prefix: str | None = Non
 
 def validate(sets: DataFrame, now: DataFrame, alg: str = "xxhash") -> DataFrame:
     """``id, path, count, n_ok, ok``: each set's first member against the others; a set is good when all others still equal it."""
-    m = members(sets).select("id", "each_size", "path")
+    m = settled(members(sets).select("id", "each_size", "path"), "members")
     first = set_counts(m).select("id", "count", F.col("first").alias("path"))
     info = current(now, m, alg)
     p = first.join(info.select("path", F.col("dev").alias("p_dev"), F.col("inode").alias("p_inode"), F.col("hash").alias("p_hash")), "path", "left")

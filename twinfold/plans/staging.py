@@ -45,6 +45,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df``, staged if its plan groups or joins, so that it is made once where it is used several times; what is read from a table stays as it is."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return stage(df, name) if re.search(r"\b(Aggregate|Join|Window|Distinct|MapInArrow|RelationV2)\b", plan) else df
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark reads, with all below it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

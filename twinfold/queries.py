@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from twinfold.functions import hashing, paths
 from twinfold.model import Options
-from twinfold.operators import maintain, scan, verify
+from twinfold.operators import classes, maintain, ranges, scan, verify
 from twinfold.plans import report
+from twinfold.plans.staging import place
+from twinfold.plans.store import DuplicateStore, HashCache, from_delimited, to_delimited
 from twinfold.sources.corpus import document_files
 
 ALL = Options(alg="md5", hidden=True, prefixes=())
@@ -122,7 +124,7 @@ def dup_sets(spark, sf_dir):
 
 @query(_SETS)
 def dup_sets_staged(spark, sf_dir):
-    return flat(sets(spark, sf_dir, Options(hidden=True, prefixes=(256, 4096))))
+    return flat(sets(spark, sf_dir, Options(hidden=True, prefixes=(256, 4096), column_rounds=True)))
 
 
 for _alg in ("md5", "sha1", "sha512", "xxhash"):
@@ -347,7 +349,7 @@ def unreadable(spark, sf_dir):
 
 @query("SELECT * FROM (SELECT min(path) OVER (PARTITION BY content) AS first, path, size FROM files WHERE size >= 1) WHERE path <> first")
 def byte_compare(spark, sf_dir):
-    return scan.byte_equal(files(spark, sf_dir))
+    return classes.byte_equal(files(spark, sf_dir))
 
 
 @query("SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name FROM files")
@@ -387,3 +389,54 @@ CASE WHEN row_number() OVER (ORDER BY n * size, size, kept) = 1 THEN '' ELSE ','
 UNION ALL SELECT 0, 0, 0, '', '[' UNION ALL SELECT 2, 0, 0, '', ']'""")
 def report_json_file(spark, sf_dir):
     return report.report_rows(sets(spark, sf_dir), "json")
+
+
+@query("SELECT * FROM (SELECT min(path) OVER (PARTITION BY content) AS class, path, size, count(*) OVER (PARTITION BY content) AS n FROM files WHERE size >= 1) WHERE n > 1".replace("*", "class, path, size", 1))
+def byte_classes(spark, sf_dir):
+    """Files of equal size compared by their bytes alone, no digest before."""
+    return classes.byte_classes(files(spark, sf_dir), ALL, alg=None)
+
+
+@query(_SETS)
+def dup_sets_folded(spark, sf_dir):
+    """Contents cut into ranges, digested apart and folded in a tree, as large files on disk are."""
+    f = scan.accepted(files(spark, sf_dir), ALL)
+    folds = ranges.folded(ranges.column_ranges(F.col("path"), F.col("content"), f, "md5", 512), "md5", 1 << 20, 8)
+    found = f.select("path", "size").join(folds, "path").select(scan.set_id().alias("id"), F.col("size").alias("each_size"), "path")
+    return flat(scan.as_sets(found))
+
+
+@query(None)
+def digest_sha512(spark, sf_dir):
+    return files(spark, sf_dir).select("path", F.lower(F.hex(hashing.digest("sha512", F.col("content")))).alias("digest"))
+
+
+@query(None)
+def digest_xxhash(spark, sf_dir):
+    return files(spark, sf_dir).select("path", F.lower(F.hex(hashing.digest("xxhash", F.col("content")))).alias("digest"))
+
+
+@query(_FLAT.format(n="n", paths="paths") + "sets WHERE n > 2")
+def set_exchange(spark, sf_dir):
+    """Sets written with their members as one string and read back."""
+    return flat(from_delimited(to_delimited(sets(spark, sf_dir)))).filter("count > 2")
+
+
+@query("SELECT path, candidate, status FROM stat WHERE path = (SELECT min(path) FROM m WHERE path IN (SELECT path FROM now))")
+def store_lookup(spark, sf_dir):
+    """``file_lookup`` from a store on disk: by the index of paths, then the one set's members; only its files are digested."""
+    store, n = DuplicateStore(spark, place(spark, "store")), now(spark, sf_dir)
+    store.save(rows(spark, sf_dir))
+    first = store.members().select("path").join(n.select("path"), "path", "left_semi").agg(F.min("path").alias("path")).first()["path"]
+    return verify.file_in_store(store, n, first, "md5")
+
+
+@query("SELECT path, size, h AS hash FROM files WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 OR doc_id % 12 = 1 OR doc_id % 12 = 4 ORDER BY path")
+def cache_log(spark, sf_dir):
+    """A cache with a base, some stale entries, and two deltas: what was written last holds, and what no file has any more goes."""
+    cache, f = HashCache(spark, place(spark, "cache")), files(spark, sf_dir)
+    cache.save(_cached(spark, sf_dir))
+    fresh = f.withColumn("id", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")).withColumn("hash", hashing.digest("md5", F.col("content")))
+    for rest in (1, 4):
+        cache.append(fresh.filter(F.col("id") % 12 == rest).select("path", "size", "ctime", F.lit("md5").alias("alg"), "hash"))
+    return maintain.valid_entries(cache.load(), f).select("path", "size", F.lower(F.hex("hash")).alias("hash"))
