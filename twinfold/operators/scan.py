@@ -25,8 +25,8 @@ TASK_BYTES, TASK_FILES, TASKS = 512_000_000, 20_000, 100_000
 
 
 def in_columns(files: DataFrame) -> bool:
-    """Whether contents are in a column, not on disk."""
-    return "content" in files.columns
+    """Whether contents, or the digests that a scan has made of them, are in a column, not on disk."""
+    return "content" in files.columns or "hash" in files.columns
 
 
 def accepted(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -78,6 +78,8 @@ def same_prefix(files: DataFrame, alg: str, most: int) -> DataFrame:
 
 def computed(files: DataFrame, alg: str) -> DataFrame:
     """Narrow rows with the ``hash`` of the whole content; null where it cannot be read. Rows of files on disk should be staged, as they are gone through by size."""
+    if "hash" in files.columns:  # by ``scanned``
+        return files.select(*NARROW, "hash")
     return files.select(*NARROW, digest(alg, F.col("content")).alias("hash")) if in_columns(files) else disk_digests(files.select(*NARROW), alg)
 
 
@@ -103,6 +105,8 @@ def beside_cache(files: DataFrame, alg: str, served: DataFrame, observation: Obs
     and digested by themselves. ``observation`` counts contents ``digested`` and ``spared`` in the first pass.
     """
     key = ("path", "size", "ctime")
+    if "hash" in files.columns:
+        return computed(files, alg).join(served.select("path"), "path", "left_anti")
     if (words := words_for(served.count())) is None:
         return computed(files, alg).join(served.select("path"), "path", "left_anti")
     filter_ = stage(bloom(served, words, *key), "filter")
@@ -132,24 +136,30 @@ def spread(rows: DataFrame, most: int | None = None) -> DataFrame:
     return rows.repartition(min(TASKS, max(1, -(-t["bytes"] // TASK_BYTES), -(-t["n"] // TASK_FILES))))
 
 
-def _on_disk(f: DataFrame, options: Options, cache: DataFrame | None) -> DataFrame:
-    """Narrow rows with the ``hash`` of each file that may have a duplicate: the size, prefix and whole-file rounds, each staged."""
+def _on_disk(f: DataFrame, options: Options, cache: DataFrame | None, every: bool = False) -> DataFrame:
+    """Narrow rows with the ``hash`` of each file that may have a duplicate: the size, prefix and whole-file rounds, each staged.
+
+    ``every``: rows of all files of shared sizes, as the statistics need them: one that a round tells apart has that round's digest, one that cannot be read has none.
+    """
     f = stage(f.select(*NARROW), "files")
     f = shared(f, "size")
     if options.hardlink_is_unique:
-        f = shared(drop_hard_links(f), "size")
+        f = drop_hard_links(f) if every else shared(drop_hard_links(f), "size")
     done = []
     if cache is not None:
         done.append(stage(served_by(f, cache, options.alg, options.cache_min_size), "served"))
         f = f.join(done[0].select("path"), "path", "left_anti")
     for most in sorted(options.prefixes):
-        read = stage(prefix_digests(spread(f, most), options.alg, most), f"prefix{most}")
-        done.append(read.filter(F.col("size") <= most))
-        f = shared(read.filter(F.col("size") > most), "size", "hash").drop("hash")
+        read = stage(hash_files(spread(f, most), options.alg, most), f"prefix{most}")
+        done.append(read.filter(F.col("hash").isNotNull() & (F.col("size") <= most)))
+        more = read.filter(F.col("hash").isNotNull() & (F.col("size") > most))
+        f = shared(more, "size", "hash").drop("hash")
+        if every:
+            done += [read.filter(F.col("hash").isNull()), more.join(f.select("path"), "path", "left_anti")]
     out = stage(computed(f, options.alg), "whole")
     for part in done:
         out = out.unionByName(part)
-    return out.filter(F.col("hash").isNotNull())
+    return out if every else out.filter(F.col("hash").isNotNull())
 
 
 def _column_rounds(f: DataFrame, options: Options) -> DataFrame:
@@ -170,6 +180,23 @@ def _column_rounds(f: DataFrame, options: Options) -> DataFrame:
     return out
 
 
+def scanned(files: DataFrame, options: Options = Options(), cache: DataFrame | None = None) -> DataFrame:
+    """FILES rows, staged, with ``hash`` in place of content: one read for the sets, the statistics and what else a scan is asked for, which then take these rows as ``files``.
+
+    Files of a size of their own are not opened on disk, nor digested any further than rounds need; they have no hash, and no one asks for it.
+    """
+    names = [c for c in files.columns if c not in ("content", "hash")]
+    if "content" in files.columns:
+        takes_part = F.coalesce((F.col("kind") == "file") & (F.col("size") >= options.min_size), F.lit(False))
+        if cache is None or not options.use_cache:
+            return stage(files.select(*names, F.when(takes_part, digest(options.alg, F.col("content"))).alias("hash")), "scanned")
+        rows = hashed(accepted(files, options), options.alg, cache, options.cache_min_size)
+        return stage(files.select(*names).join(rows.select("path", "hash"), "path", "left"), "scanned")
+    seen = stage(files.select(*names), "seen")
+    rows = _on_disk(accepted(seen, options), options, cache if options.use_cache else None, every=True)
+    return stage(seen.join(rows.select("path", "hash"), "path", "left"), "scanned")
+
+
 def candidates(files: DataFrame, options: Options = Options(), cache: DataFrame | None = None) -> DataFrame:
     """Narrow rows with ``hash`` of all files that may be in a duplicate set."""
     f, cache = accepted(files, options), cache if options.use_cache else None
@@ -226,14 +253,14 @@ def cache_served_groups(files: DataFrame, cache: DataFrame, alg: str, cache_min_
 
 
 def statistics(files: DataFrame, options: Options = Options(), cache: DataFrame | None = None) -> DataFrame:
-    """One row: what the scan saw, skipped, found, could not read and took from a cache.
+    """One row: what the scan saw, skipped, found, could not read and took from a cache. Given the rows of ``scanned``, nothing is read or digested again.
 
-    ``consistent``: accepted files are those whose sizes were grouped, less the hard links left out.
+    ``consistent``: accepted files are as many as those alone in their size, left out as hard links, in a set, unlike all others, or unreadable, each counted by itself.
     """
     kind, size = F.col("kind"), F.col("size")
     count_if = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    narrow = [c for c in files.columns if c != "content"]
+    narrow = [c for c in files.columns if c not in ("content", "hash")]
     if not options.hidden:  # as in a walk, which does not see them
         files = files.filter(~hidden(F.expr("substring(path, length(root) + if(root = '/', 1, 2))")))
     if not in_columns(files):  # the tree is walked once for all counts
@@ -254,7 +281,9 @@ def statistics(files: DataFrame, options: Options = Options(), cache: DataFrame
     out = seen.join(own).join(links).join(found)  # one-row tables
     if cache is not None:
         out = out.join(cache_served_groups(f, cache, options.alg, options.cache_min_size).agg(F.count("*").alias("size_list_done_from_cache"), total("count").alias("files_done_from_cache")))
-    return out.withColumn("consistent", F.col("accepted") == F.col("in_sizes")).drop("in_sizes")
+    skipped = F.col("hard_links_skipped") if options.hardlink_is_unique else F.lit(0)
+    sums = F.col("unique_by_size") + skipped + F.col("duplicate_files") + F.col("unique_files") + F.col("unreadable")
+    return out.withColumn("consistent", (F.col("accepted") == F.col("in_sizes")) & (F.col("accepted") == sums)).drop("in_sizes")
 
 
 def stats_lines(stats: DataFrame) -> DataFrame:

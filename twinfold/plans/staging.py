@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, staged; the tables that it staged on its way are deleted once the result is written."""
+    before = len(_staged)
+    out = stage(make(), name)
+    for _, path in _staged[before:-1]:
+        deleted(spark, path)
+    del _staged[before:-1]
+    return out
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df``, staged if its plan groups or joins, so that it is made once where it is used several times; what is read from a table stays as it is."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -337,7 +337,8 @@ CAST(sum(k) FILTER (k > 1) AS BIGINT) - (SELECT CAST(sum(n) AS BIGINT) FROM sets
 (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM files WHERE size >= 100 GROUP BY size HAVING count(*) > 1 AND bool_and(doc_id % 3 <> 0 AND doc_id % 4 <> 0))) AS files_done_from_cache, true AS consistent
 FROM (SELECT size, count(*) AS k FROM files WHERE size >= 100 GROUP BY size)""")
 def scan_stats(spark, sf_dir):
-    return scan.statistics(files(spark, sf_dir, True), Options(alg="md5", min_size=100, hidden=True, prefixes=(), cache_min_size=0), _cached(spark, sf_dir))
+    options = Options(alg="md5", min_size=100, hidden=True, prefixes=(), cache_min_size=0)
+    return scan.statistics(scan.scanned(files(spark, sf_dir, True), options), options, _cached(spark, sf_dir))
 
 
 @query("SELECT size AS each_size, CAST(count(*) AS INTEGER) AS count, string_agg(path, '|' ORDER BY path) AS paths FROM files WHERE doc_id % 11 <> 0 GROUP BY size, h HAVING count(*) > 1")
