@@ -208,12 +208,12 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 7, fold: int = 2, bl
     gathered = stage(gather(blocks.repartitionById(n_blocks, F.col("block")), order), "gathered")
     grams, words = gathered.filter(F.col("kind") == GRAM), gathered.filter(F.col("kind") == WORD)
     lp = stage(model(grams.select(F.col("key").alias("gram"), "c"), order), "model")
-    own = Window.partitionBy("key")  # at most as many rows as blocks
-    known = stage(words.select("block", "key", F.sum("c").over(own).alias("n"), "c", (F.min("block").over(own) == F.col("block")).alias("first")), "words")
-    total = known.agg(F.sum("c").alias("n"), F.sum((F.col("first") & (F.col("n") > 0)).cast("long")).alias("v")).first()
+    # A common word has a row for each block: its count is a sum, and the join back is one that Spark splits where a word is hot.
+    known = stage(words.groupBy("key").agg(F.sum("c").alias("n")), "words")
+    total = known.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = (total["n"] or 0) + ends, (total["v"] or 0) + (ends > 0)
     answers = grams.select("block", F.col("key").alias("gram")).join(lp, "gram").select("block", F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.col("lp").alias("value"))
-    counts = known.select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    counts = words.select("block", "key").join(known, "key").select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
     asked = blocks.select("block", F.lit(TEXT).alias("kind"), "doc_id", "held_out", "text")
     dealt = answers.unionByName(counts).unionByName(asked, allowMissingColumns=True).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind")
 
