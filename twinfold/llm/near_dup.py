@@ -9,7 +9,7 @@ Equal sets are one node, so exact copies are never compared. A band's nodes are
 in its bands; each node tries the ``LEADERS`` leaders that it shares most bands with. This joins a group of near copies in about as many comparisons as it has
 members. What is then left are bands whose nodes lie in several components. Their nodes are dealt to chunks by a hash, those outside
 the band's largest component go to each chunk, and the estimate tells at which spots (nodes of one leader, dealt to parts by a hash) a node may have links. The
-node's full set goes to those spots and is compared with the sets there; only links leave a spot. So no band, however large, is held by one task, pairs are compared but
+node's full set goes to those spots and is compared with the sets there, in as many copies of a spot as its askers need; only links leave a spot. So no band, however large, is held by one task, pairs are compared but
 never formed as rows, and no candidate is dropped by a cap.
 
 With similarity s a band is shared with probability s^4; 24 bands miss a pair at 0.8 once in 300,000 times. The estimate's cut lies 6.9 standard
@@ -233,11 +233,15 @@ def _like(comps: np.ndarray, sizes: np.ndarray, component: int, n: int) -> np.nd
 def _confirmed_at(asked: DataFrame, comp: DataFrame, spots: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Links ``a, b`` of the nodes asked with nodes of other components at the spot, confirmed on full sets; one for each component suffices.
 
-    A spot holds about ``CHUNK`` nodes, and only links leave it.
+    A spot holds about ``CHUNK`` nodes, and only links leave it. Where more nodes ask, the spot's nodes are repeated for each ``CHUNK`` of them, so neither side of a task is unbounded.
     """
+    times = stage(asked.groupBy("spot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("times")), "times")
     there = spots.join(asked.select("spot").distinct(), "spot", "left_semi")
     sets = _sets(there.select("node").unionByName(asked.select("node")), docs, nodes, words).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = there.select("node", "spot", F.lit(0).alias("kind")).unionByName(asked.select("node", "spot", F.lit(1).alias("kind"))).join(sets, "node").repartition("spot").sortWithinPartitions("spot", "kind")
+    held = there.join(times, "spot").select("node", "spot", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("part"))
+    asks = asked.join(times, "spot").select("node", "spot", F.lit(1).alias("kind"), F.pmod(F.xxhash64("node"), "times").cast("int").alias("part"))
+    both = held.unionByName(asks).join(sets, "node").withColumn("spot", F.xxhash64("spot", "part"))
+    dealt = both.repartition("spot").sortWithinPartitions("spot", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
