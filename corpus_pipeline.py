@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.llm import bpe, mixing, near_dup, pii, quality
-from twinfold.llm.common import stage, table
+from twinfold.llm.common import staged_alone, table
 
 
 #: Words kept by a tokens worker; fewer than bpe.ENCODED, as executors still hold the memory of the stages before.
@@ -54,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = staged_alone(spark, lambda step=step, docs=docs: step(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ each block returns its k best of each query, and a window ranks those. This is t
 ``BYTES`` of vectors, so that queries are sent as few times as a worker's memory allows.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither as queries nor
-as candidates; ties go to the smaller id; rows with one id and different vectors are different candidates, and so are repeated rows; a query row that is
+as candidates, while magnitudes of any size do; ties go to the smaller id; rows with one id and different vectors are different candidates, and so are repeated rows; a query row that is
 repeated is asked once, and query rows with one id and different vectors are asked and ranked apart; with fewer candidates than
 k all are returned; an empty table gives no rows; columns besides the two named are ignored whatever their names.
 """
@@ -81,6 +81,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, codes: Codes, norms: np.n
     return list(zip(ids[pick][best].tolist(), exact[best].tolist(), strict=True))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by powers of two, which change no cosine, so that their largest components lie near 1 and no square overflows or vanishes."""
+    if vectors.dtype != np.float64 or not len(vectors):
+        return vectors  # squares of 32-bit floats are 64-bit ones
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def usable(vec: Column, dim: int) -> Column:
     """Whether a vector has ``dim`` finite components, not all zero."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -114,7 +121,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
         for batch in batches:
             at = batch.column("block").to_numpy()
             kinds, ids, variants = (batch.column(c).to_numpy() for c in ("kind", "id", "variant"))
-            vecs = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            vecs = scaled(batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
             cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(at)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:

@@ -10,9 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.plans.staging import place, release, shared_dir, stage
+from twinfold.plans.staging import place, release, shared_dir, stage, staged_alone
 
-__all__ = ["place", "release", "shared_dir", "stage"]
+__all__ = ["place", "release", "shared_dir", "stage", "staged_alone"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

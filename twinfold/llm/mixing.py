@@ -5,7 +5,8 @@ time costs r - 1, so costs are convex and repeats are used only when needed. A m
 becomes an interval of the pattern's documents in the order of a seeded hash; the interval's ends are found by
 refining histograms of the hash, eight bits at a time, so no group of documents is ever sorted or collected. What the document at the edge of
 an interval leaves open is filled from documents behind it and then from further copies, until no document with copies left fits. The same is done with the
-edge document taken and others left out for it; of both ways the one nearer to the target stays.
+edge document taken and others left out for it; of both ways the one nearer to the target stays. Where neither comes within ``NEAR`` of the words wanted and the pattern has at most ``FEW``
+different hashes, all sums of its documents' copies are searched for the nearest one.
 
 Only the patterns, their flows and 256 sums for each pattern with a divided flow reach the driver; ``MAX_PATTERNS`` bounds them.
 
@@ -28,6 +29,8 @@ from .common import WORD, stage
 COPIES = 3
 MAX_PATTERNS = 4096
 BITS = 32
+#: Share of the words wanted that may stay open, hashes of a pattern whose sums are searched, and the most words of such a pattern.
+NEAR, FEW, FEW_WORDS = 0.005, 64, 300_000
 
 
 def default_weight(position: int) -> float:
@@ -177,6 +180,39 @@ def _filled(docs: DataFrame, marks: list[int], tries: dict[tuple, dict], least:
             t["level"], t["low"] = (t["level"] + 1, 0) if high >= 1 << BITS else (t["level"], high + 1)  # what stands at the edge itself does not fit
 
 
+def nearest_sum(sizes: list[int], copies: int, goal: int) -> list[int]:
+    """How often each size is taken, at most ``copies`` times, so that the sum is as near to ``goal`` as can be; of two, the smaller sum."""
+    reach = [1]  # after each item, the sums that can be made, as bits
+    items = [i for i in range(len(sizes)) for _ in range(copies)]
+    for i in items:
+        reach.append(reach[-1] | reach[-1] << sizes[i])
+    below = reach[-1] & ((1 << (goal + 1)) - 1)
+    low, above = below.bit_length() - 1, reach[-1] >> (goal + 1)
+    high = goal + 1 + (above & -above).bit_length() - 1 if above else None
+    left, times = (high if high is not None and high - goal < goal - low else low), [0] * len(sizes)
+    for k in range(len(items), 0, -1):
+        if not reach[k - 1] >> left & 1:
+            times[items[k - 1]] += 1
+            left -= sizes[items[k - 1]]
+    return times
+
+
+def _searched(docs: DataFrame, marks: list[int], wanted: dict[int, tuple[int, int]], copies: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """The parts of patterns (source, words wanted) of few documents, from all sums of their copies; patterns of more are not in it. At most ``FEW`` rows of a pattern are collected."""
+    at = F.broadcast(docs.sparkSession.createDataFrame([(marks[p], p) for p in wanted], "mark long, pattern int"))
+    rows = docs.join(at, "mark").filter("size > 0").groupBy("pattern", "hash").agg(F.sum("size").alias("n"), F.max("size").alias("most"))
+    few = rows.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("words")).filter((F.col("k") <= FEW) & (F.col("words") <= FEW_WORDS)).select("pattern")
+    held: dict[int, list] = {}
+    for r in rows.join(F.broadcast(few), "pattern").orderBy("pattern", "hash").collect():
+        held.setdefault(r["pattern"], []).append(r)
+    out = {}
+    for p, docs_ in held.items():
+        source, goal = wanted[p]
+        times = nearest_sum([r["n"] for r in docs_], copies, goal)
+        out[p] = [(source, r["hash"], r["hash"] + 1, r["most"]) for r, n in zip(docs_, times, strict=True) for _ in range(n)]
+    return out
+
+
 def _marked(members: Column) -> Column:
     """A 64-bit key of a pattern, in which null members differ from all others; ``plan`` tests that no two patterns share one.
 
@@ -259,6 +295,11 @@ def plan(base: DataFrame, weight: Callable[[int], float] = default_weight, copie
     for p in alone:
         if (p, True) in tries and abs(tries[p, True]["rest"]) < tries[p, False]["rest"]:
             parts[p] = tries[p, True]["parts"]
+    wanted = {p: (s, r * supply[p] + edges[p, r][-1][1]) for p, (r, s, *_) in alone.items()}
+    open_now = {p: min(abs(tries[p, k]["rest"]) for k in (False, True) if (p, k) in tries) for p in wanted}
+    wanted = {p: w for p, w in wanted.items() if open_now[p] > NEAR * w[1]}
+    if wanted:
+        parts |= _searched(hashed, marks, wanted, copies)
     table = spark.createDataFrame([(marks[p], x, sets[p]) for p, x in parts.items()], "mark long, parts array<struct<source:int,low:long,high:long,most:long>>, positions array<int>")
     sources = spark.createDataFrame([(s, i, sizes[i], goal[i]) for i, s in enumerate(names)], "source string, position int, source_size long, target double")
     return table, sources
