@@ -10,6 +10,8 @@ as that window's. Windows without a common token are joined to one; a word in wh
 That one contracts a word's minimum rank at all its places in a step, from left to right and without overlap, up to the first place where the new token makes a pair of a lower
 rank with the token beside it, which then comes first. Its steps are about as many as the ranks merged, and it keeps the latest tokens only; its memory limit follows the word's length.
 
+The same query decodes what it has encoded, by the ordered aggregation below, and a memo keeps both for a word.
+
 Decoding: a query joins (sequence, position, token) rows with the vocabulary and aggregates the tokens' bytes in
 order of position. A sequence of identifiers is first cut into parts at white space and punctuation (decoding is the concatenation of its
 parts), so that each distinct part is decoded once while it stays in a bounded memo.
@@ -25,7 +27,7 @@ import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import compress
-from operator import not_
+from operator import itemgetter, not_
 
 import numpy as np
 import pyarrow as pa
@@ -220,19 +222,15 @@ class Codec:
 
         def flush() -> None:
             if chunk:
-                self.decoded.room(len(chunk))
                 for (w, _), ids, hex_ in zip(chunk, *self._contract([b for _, b in chunk]), strict=True):
-                    memo[w] = ids = ids.encode()
-                    self.decoded.now[ids] = bytes.fromhex(hex_)
+                    memo[w] = ids.encode(), bytes.fromhex(hex_)
                 chunk.clear()
 
         for w in words:
             b = w.encode()
             if len(b) > LONG:
                 ids = self.long_word(b)
-                self.decoded.room(1)
-                self._learn_parts([ids])
-                memo[w] = ids
+                memo[w] = ids, self.decode_parts([[ids]])[0]
                 continue
             chunk.append((w, b))
             held += len(b)
@@ -242,7 +240,7 @@ class Codec:
         flush()
 
     @staticmethod
-    def _looked_up(rows: list[list], memo: Memo, learn: Callable[[list], None]) -> list[list[bytes]]:
+    def _looked_up(rows: list[list], memo: Memo, learn: Callable[[list], None]) -> list[list]:
         """The memo entries of each row's items; ``learn`` is called once with the items that the memo lacks."""
         found = [list(map(memo.now.get, row)) for row in rows]
         lacking = [list(compress(row, map(not_, values))) for row, values in zip(rows, found, strict=True)]
@@ -258,13 +256,13 @@ class Codec:
                 values[at] = memo.now[x]
         return found
 
-    def encode_words(self, batch: list[str]) -> list[list[bytes]]:
-        """For each text the identifiers of each of its words, in decimal, joined by spaces."""
+    def coded(self, batch: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """For each text the identifiers of each of its words, in decimal, joined by spaces, and the bytes that they decode to."""
         return self._looked_up([self.split(t) for t in batch], self.encoded, self.learn)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """The identifiers of each text."""
-        return [np.array(b" ".join(words).split(), np.int32) for words in self.encode_words(batch)]
+        return [np.array(b" ".join(map(itemgetter(0), words)).split(), np.int32) for words in self.coded(batch)]
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         for k in range(0, len(parts), 50_000):
@@ -286,7 +284,7 @@ class Codec:
         return self.decode_parts(parts)
 
     def decode_parts(self, batch: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each sequence of identifiers that comes in parts, as ``encode_words`` gives them."""
+        """The bytes of each sequence of identifiers that comes in parts, each in decimal."""
         return [b"".join(x) for x in self._looked_up(batch, self.decoded, self._learn_parts)]
 
 
@@ -337,13 +335,12 @@ def digests(docs: DataFrame, path: str, pattern: str, memo: int = ENCODED) -> Da
             n, ids_sha, text_sha = [], [], []
             with uncollected():  # millions of small objects and no cycles among them
                 c = codec(path, pattern, memo)
-                encoded = c.encode_words(part.column("text").to_pylist())
-                for words, raw in zip(encoded, c.decode_parts(encoded), strict=True):
-                    ids = b" ".join(words)
+                for words in c.coded(part.column("text").to_pylist()):
+                    ids = b" ".join(map(itemgetter(0), words))
                     n.append(ids.count(b" ") + bool(ids))
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(raw).hexdigest())
-                del encoded, words, raw, ids
+                    text_sha.append(hashlib.sha256(b"".join(map(itemgetter(1), words))).hexdigest())
+                del words, ids
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
