@@ -446,6 +446,26 @@ def brute_targets(sizes, weights):
     return [min(3 * n, w * low) for n, w in zip(sizes, weights, strict=True)]
 
 
+def test_threshold_is_compared_on_training_rows():
+    """Parts that the fit left out decide; a threshold that no word reaches finds nothing, and rows that are alike in all parts are found."""
+    rng = np.random.default_rng(8)
+    rows = [(k % 4, np.unique(np.append(rng.integers(10, 5000, 30), [3] if k % 3 == 0 else [])).astype(np.int32), k % 3 == 0) for k in range(240)]
+    got = toxicity.compared(rows, (toxicity.SURE, 1e9))
+    assert got[toxicity.SURE][0] == 1.0 and got[toxicity.SURE][1] < 0.05 and got[1e9][0] == 0.0
+
+
+def test_labels_of_held_out_rows_and_repeats_change_nothing(spark):
+    text = lambda i: "nasty words here" if i % 4 == 0 else f"plain talk {i % 7}"
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = [(i, 0, int(i % 4 == 0)) for i in range(200)]
+    schema = "doc_id long, quality int, toxic int"
+    first, prior = toxicity.train(docs, spark.createDataFrame(marks, schema))
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in marks]
+    for other in (marks + marks[:50], flipped):
+        again, same_prior = toxicity.train(docs, spark.createDataFrame(other, schema))
+        assert prior == same_prior and np.array_equal(first, again)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=5), st.integers(0, 3), st.integers(0, 300))
 def test_nearest_sum(sizes, copies, goal):
