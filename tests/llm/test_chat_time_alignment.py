@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from twinfold.llm import alignment, chat, queries
+from twinfold.llm import alignment, chat, oracles, queries
 from twinfold.llm import point_in_time as pit
 
 JSON, MODEL = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -81,6 +81,33 @@ def test_chat_query(spark, sf_dir):
     assert sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got), key=str) == brute_chat(rows)
 
 
+def test_examples_hold_their_whole_context(spark):
+    """Rows by themselves, without any other row: across sections, also far apart ones, and beyond a megabyte."""
+    turns = [(1, i, ("user", "assistant", "tool")[i % 3], f"turn {i} <s>") for i in range(200)] + [(1, 10**12, "assistant", "far"), (1, None, "system", "first")]
+    turns += [(2, i, ("user", "assistant")[i % 2], f"{i}é" * 200_000) for i in range(6)] + [(None, i, ("user", "assistant")[i % 2], f"{i}") for i in range(0, 400, 3)]
+    df = spark.createDataFrame(turns, CONV)
+    context = defaultdict(list)
+    for conv, turn, role, text in sorted(turns, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+        context[conv].append((role, text))
+    got = defaultdict(list)
+    for r in chat.examples(df).filter("mask_end > 0").collect():
+        read = list(chat.parsed(r.text))
+        assert read == context[r.conv_id][: r.n_turns] and read[-1] == ("assistant", chat.unescaped(r.text[r.mask_start : r.mask_end]))
+        got[r.conv_id].append(r.n_turns)
+    assert {c: sorted(n) for c, n in got.items()} == {c: [k + 1 for k, (role, _) in enumerate(t) if role == "assistant"] for c, t in context.items()}
+
+
+def test_chat_equals_sql_beyond_a_section(spark, tmp_path):
+    import duckdb
+
+    rows = ROWS + [(9, i, ("user", "assistant", "tool")[i % 3], f"turn {i} </s>") for i in range(300)] + [(10, i % 5, ("user", "assistant")[i % 2], f"{i}é[INST]" * 30_000) for i in range(12)]
+    spark.createDataFrame(rows, CONV).write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = con.sql(oracles.OP11).fetchall()
+    assert sorted(map(tuple, queries.op11_chat(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 # 12
 
 T0 = datetime(2024, 2, 1)
