@@ -291,3 +291,26 @@ def test_alignment_of_any_text(pair, text):
     (head,) = one.aligned([text])
     (want,) = brute_alignment([(0, text)], pair)
     assert (*head[:3], len(head[4]), head[3]) == (*want[1:5], want[7])
+
+
+def test_segments_are_merged_together(pair):
+    """One segment that is not given back does not make its neighbours be merged one by one, nor do spaces within segments."""
+    one = alignment.Aligner(JSON, MODEL)
+    calls, plain = [], one.encoded
+    one.encoded = lambda text: calls.append(len(text)) or plain(text)
+    texts = [" ".join(f"w{i}" for i in range(2000)) + " \u2581x", "  ".join(f"w{i} v{i}\t{i}" for i in range(1000)), "w1 w2", "\tw3  \n"]
+    got = one.aligned(texts)
+    assert len(calls) < 60  # 2002 for the first text alone when they were
+    want = brute_alignment(list(enumerate(texts)), pair)
+    assert [(*h[:3], len(h[4]), h[3]) for h in got] == [(*w[1:5], w[7]) for w in want]
+    assert len(one.memo.now["w1999"][2]) == 4 * 5  # four bytes for a pair
+
+
+def test_small_memo_changes_nothing(pair):
+    words = [*"abcdefghij", "it's", "x\ty", "\u2581", "été", "12.5", ""]
+    r = random.Random(1)
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", "\n", "  "]) for _ in range(r.randrange(12))) for _ in range(300)]
+    one = alignment.Aligner(JSON, MODEL, memo=7)
+    got = [h for k in range(0, 300, 20) for h in one.aligned(texts[k : k + 20])]
+    want = sorted(brute_alignment(list(enumerate(texts)), pair))
+    assert [(*h[:3], len(h[4]), h[3]) for h in got] == [(*w[1:5], w[7]) for w in want]

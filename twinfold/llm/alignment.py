@@ -1,9 +1,8 @@
-r"""Alignment of two tokenizers' tokens: a two-pointer merge of cumulative token ends.
+r"""Alignment of two tokenizers' tokens: a merge of cumulative token ends.
 
 A (byte-level BPE) encodes a space and the text, B (a sentencepiece model, which adds that space) the text. Both are cut at the same bytes, so their ends are merged like two
-sorted lists: each step links the two tokens under the pointers, whose byte ranges overlap, and moves the one that ends first; where both end, a group closes. Neither vocabulary has
-tokens across a space or line feed that stands between two other characters (checked when the files are loaded; else texts stay whole), so a text is merged segment by
-segment, and each distinct segment once while it stays in a bounded memo.
+sorted lists: up to each end of either, the two tokens that lie there are linked, whose byte ranges overlap; where both end, a group closes. Neither vocabulary has tokens across a space or line feed that stands between two other characters (checked when the files are loaded; else texts stay whole), so a text is merged segment by segment, and each
+distinct segment once while it stays in a bounded memo; many new segments are merged at a time, as arrays.
 
 A pair's count is corpus-wide. A task numbers the distinct pairs of a block of its documents, the commonest first, and emits them with their counts beside the documents, whose links are
 lists of these numbers. Spark adds up the counts by pair, takes the maxima by each side's identifier, joins both back to the blocks' pairs, and brings these
@@ -19,9 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections.abc import Iterable, Iterator
-from itertools import compress
+from collections.abc import Iterator
+from itertools import compress, pairwise
 from operator import itemgetter, not_
 
 import numpy as np
@@ -38,10 +36,9 @@ MEMO, CHUNK, PIECE, BLOCK = 120_000, 100_000, 1_000_000, 2_000_000
 PAIRS, DOC = 0, 1
 #: Pairs of a block in one row.
 TOGETHER = 20_000
-#: An entry of the memo: counts of A's tokens, B's tokens and groups in one number, so that a text's are one sum, groups as text, pairs as 64-bit numbers.
-LOSSY = (0, b"", None)
-BITS = 40
-FIELD = (1 << BITS) - 1
+#: An entry of the memo: count of A's tokens, groups as text, pairs as an array's bytes. The counts of these two make a text's sum tell that it has such segments: one that is not
+#: given back, one that cannot be cut off at its spaces.
+LOSSY, ODD = (1 << 40, b"", b""), (1 << 80, b"", b"")
 
 _MARKED = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -70,7 +67,9 @@ class Aligner:
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         self.raw_b = [bytes([int(p[1:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = len(self.raw_b)
-        self.digits = list(map(str, range(max(len(self.raw_a), self.size_b))))
+        self.pair = np.dtype(np.uint32 if len(self.raw_a) * self.size_b <= 1 << 32 else np.int64)
+        self.written = [f"{i}{mark}" for i in range(max(len(self.raw_a), self.size_b)) for mark in ",|;"]
+        self.width = np.array(list(map(len, self.written)))
         self.len_a, self.len_b = (np.array(list(map(len, raw))) for raw in (self.raw_a, self.raw_b))
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -80,16 +79,20 @@ class Aligner:
         self.memo = Memo(memo)
 
     def segments(self, text: str) -> list[str]:
-        """The keys of a text's segments: without the space before them, where a segment has one; see ``literal``."""
+        """The keys of a text's segments, mostly as if each space or line feed stood between two other characters; see ``literal``."""
         if not self.cut:
-            return [" " + text]
-        if not _MARKED.search(text):
-            return text.replace("\n", " \n").split(" ")
-        return [s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else s for s in _CUT.split(" " + text)]
+            return [f"  {text}"]
+        return self.careful(text) if "  " in text or "\n\n" in text else text.replace("\n", " \n").split(" ")
+
+    @staticmethod
+    def careful(text: str) -> list[str]:
+        """The keys of any text's segments."""
+        return [(s if s[0] == "\n" else s[1:]) if _CLEAN.fullmatch(s) else f" {s}" for s in _CUT.split(f" {text}")]
 
     @staticmethod
     def literal(key: str) -> str:
-        return key if key[0] in " \n" else " " + key
+        """A segment as it stands in the text: keys lack the space before it, or have one more if it holds other spaces."""
+        return key[1:] if key[0] == " " else key if key[0] == "\n" else f" {key}"
 
     def encoded(self, text: str) -> tuple[list[int], list[int], bool]:
         """Both identifiers' lists of a text that begins with a space, and whether both give its bytes back."""
@@ -97,28 +100,25 @@ class Aligner:
         raw = text.encode()
         return ids_a, ids_b, b"".join(map(self.raw_a.__getitem__, ids_a)) == raw == b"".join(map(self.raw_b.__getitem__, ids_b))
 
-    def merged(self, ids_a: list[int], ids_b: list[int], cuts: Iterable[int]) -> Iterator[tuple[int, bytes, bytes]]:
+    def merged(self, ids_a: list[int], ids_b: list[int], cuts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
         """Memo entries of the segments that end at ``cuts``, at each of which both have a token's end."""
-        ends_a, ends_b = (np.cumsum(n[ids]).tolist() for n, ids in ((self.len_a, ids_a), (self.len_b, ids_b)))
-        size, digits = self.size_b, self.digits
-        high, text_a, text_b = [i * size for i in ids_a], [digits[i] for i in ids_a], [digits[i] for i in ids_b]
-        i = j = 0
-        for cut in cuts:
-            from_a, from_b, start_a, start_b = i, j, i, j
-            groups, links, end = [], [], 0
-            while end < cut:
-                links.append(high[i] + ids_b[j])
-                last, other = ends_a[i], ends_b[j]
-                if last < other:
-                    i += 1
-                elif last > other:
-                    j += 1
-                else:
-                    i += 1
-                    j += 1
-                    groups.append(f"{text_a[start_a] if i - start_a == 1 else ','.join(text_a[start_a:i])}|{text_b[start_b] if j - start_b == 1 else ','.join(text_b[start_b:j])}")
-                    start_a, start_b, end = i, j, last
-            yield (i - from_a) + (j - from_b << BITS) + (len(groups) << 2 * BITS), ";".join(groups).encode(), array("q", links).tobytes()
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        twice = both[1:] == both[:-1]
+        closing, ends = both[1:][twice], both[np.append(True, ~twice)]
+        links = (a[ends_a.searchsorted(ends)] * self.size_b + b[ends_b.searchsorted(ends)]).astype(self.pair).tobytes()
+        # a group's tokens of A come after all tokens of the groups before it, its tokens of B after those
+        group_a, group_b = closing.searchsorted(ends_a), closing.searchsorted(ends_b)
+        upto_a, upto_b = (np.append(0, x.searchsorted(closing, "right")) for x in (ends_a, ends_b))
+        tokens = np.empty(len(a) + len(b), np.int64)
+        tokens[np.arange(len(a)) + upto_b[group_a]] = 3 * a + (ends_a == closing[group_a])
+        tokens[np.arange(len(b)) + upto_a[group_b + 1]] = 3 * b + 2 * (ends_b == closing[group_b])
+        groups = "".join(map(self.written.__getitem__, tokens.tolist())).encode()
+        n_a, n_b = ends_a.searchsorted(cuts, "right"), ends_b.searchsorted(cuts, "right")
+        written = np.append(0, np.cumsum(self.width[tokens])[n_a + n_b - 1]).tolist()
+        linked = np.append(0, ends.searchsorted(cuts, "right") * self.pair.itemsize).tolist()
+        return list(zip(np.diff(n_a, prepend=0).tolist(), (groups[x : y - 1] for x, y in pairwise(written)), (links[x:y] for x, y in pairwise(linked)), strict=True))
 
     def _alone(self, literal: str) -> tuple:
         guard = "" if literal[0] == " " else " a"
@@ -126,59 +126,71 @@ class Aligner:
         if not same:
             return LOSSY
         size = len(literal.encode())
-        return list(self.merged(ids_a, ids_b, [2, 2 + size] if guard else [size]))[-1]
-
-    def learn(self, keys: Iterable[str]) -> None:
-        """Merge segments that the memo lacks; those of one word are encoded side by side, as they would be in a text."""
-        memo = self.memo.now
-        held: list[tuple[str, str]] = []
-        size = 0
-
-        def flush() -> None:
-            if not held:
-                return
-            ids_a, ids_b, same = self.encoded(" a" + "".join(s for _, s in held))
-            if same:
-                ends = np.cumsum([2, *(len(s.encode()) for _, s in held)]).tolist()
-                entries = self.merged(ids_a, ids_b, ends)
-                next(entries)
-                memo.update(zip((k for k, _ in held), entries, strict=True))
-            else:
-                memo.update((k, self._alone(s)) for k, s in held)
-            held.clear()
-
-        for key in keys:
-            literal = self.literal(key) if key else " "
-            if not _CLEAN.fullmatch(literal):
-                memo[key] = self._alone(literal)
-                continue
-            held.append((key, literal))
-            size += len(literal)
-            if size > CHUNK:
-                flush()
-                size = 0
-        flush()
-
-    def aligned(self, batch: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
-        """``n_a, n_b, n_groups, groups_sha256`` and the pair of each link of each text."""
-        rows = [self.segments(t) if t else [] for t in batch]
+        return self.merged(ids_a, ids_b, np.array([2, 2 + size] if guard else [size]))[-1]
+
+    def _together(self, keys: list[str], literals: list[str]) -> None:
+        """Merge segments side by side, as they would be in a text; in halves, if some of them are not given back."""
+        if len(keys) == 1:
+            self.memo.now[keys[0]] = self._alone(literals[0])
+            return
+        text = "".join(literals)
+        ids_a, ids_b, same = self.encoded(f" a{text}")
+        if same:
+            sizes = map(len, literals if text.isascii() else map(str.encode, literals))
+            self.memo.now.update(zip(keys, self.merged(ids_a, ids_b, np.cumsum([2, *sizes]))[1:], strict=True))
+            return
+        half = len(keys) // 2
+        self._together(keys[:half], literals[:half])
+        self._together(keys[half:], literals[half:])
+
+    def learn(self, keys: list[str]) -> None:
+        """Merge segments that the memo lacks."""
+        words = [k[1:] if k[:1] == "\n" else k for k in keys]
+        if " ".join(words).split() != words:  # there are some with spaces in them, or of nothing else
+            plain = []
+            for key, word in zip(keys, words, strict=True):
+                if key[:1] != " " and (not word or _MARKED.search(word)):
+                    self.memo.now[key] = ODD
+                elif len(literal := self.literal(key)) > 1 and self.cut and not literal[1].isspace() and not literal[-1].isspace():
+                    plain.append(key)
+                else:  # at a text's beginning or end
+                    self.memo.now[key] = self._alone(literal)
+            keys = plain
+        literals = list(map(self.literal, keys))
+        ends = np.cumsum(np.fromiter(map(len, literals), np.int64, len(keys)))
+        at = 0
+        while at < len(keys):
+            end = max(at + 1, int(ends.searchsorted(ends[at] + CHUNK)))
+            self._together(keys[at:end], literals[at:end])
+            at = end
+
+    def entries(self, rows: list[list[str]]) -> list[list[tuple[int, bytes, bytes]]]:
+        """Memo entries of each row's keys."""
         memo = self.memo
         found = [list(map(memo.now.get, row)) for row in rows]
-        missing = {k for row, values in zip(rows, found, strict=True) for k in compress(row, map(not_, values))}
+        lacking = [list(compress(row, map(not_, values))) for row, values in zip(rows, found, strict=True)]
+        missing = set().union(*lacking)
         memo.room(len(missing))
         again = {k: v for k in missing if (v := memo.old.get(k))}
         memo.now.update(again)
-        self.learn(k for k in missing if k not in again)
+        self.learn([k for k in missing if k not in again])
+        return [[v or memo.now[k] for k, v in zip(row, values, strict=True)] if some else values for row, values, some in zip(rows, found, lacking, strict=True)]
+
+    def aligned(self, batch: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """``n_a, n_b, n_groups, groups_sha256`` and the pair of each link of each text."""
+        rows = self.entries([self.segments(t) if t else [] for t in batch])
+        sums = [sum(map(itemgetter(0), row)) for row in rows]
+        odd = [k for k, n in enumerate(sums) if n >= ODD[0]]
+        for k, row in zip(odd, self.entries([self.careful(batch[k]) for k in odd]), strict=True):
+            rows[k], sums[k] = row, sum(map(itemgetter(0), row))
         out = []
-        for row, values in zip(rows, found, strict=True):
-            values = [v or memo.now[k] for k, v in zip(row, values, strict=True)]
-            pairs = list(map(itemgetter(2), values))
-            if not row or None in pairs:
-                out.append((0, 0, 0, "", np.empty(0, np.int64)))
+        for row, n_a in zip(rows, sums, strict=True):
+            if not row or n_a >= LOSSY[0]:
+                out.append((0, 0, 0, "", np.empty(0, self.pair)))
                 continue
-            packed = sum(map(itemgetter(0), values))
-            n_a, n_b, n_groups = packed & FIELD, packed >> BITS & FIELD, packed >> 2 * BITS
-            out.append((n_a, n_b, n_groups, hashlib.sha256(b";".join(map(itemgetter(1), values))).hexdigest(), np.frombuffer(b"".join(pairs), np.int64)))
+            groups, links = b";".join(map(itemgetter(1), row)), np.frombuffer(b"".join(map(itemgetter(2), row)), self.pair)
+            n_groups = groups.count(b"|")
+            out.append((n_a, len(links) + n_groups - n_a, n_groups, hashlib.sha256(groups).hexdigest(), links))  # a group has one link less than tokens
         return out
 
 
@@ -210,11 +222,11 @@ class _Block:
 
     def frames(self, block: int) -> Iterator[pd.DataFrame]:
         """Pairs by their numbers, each with how many links of the block it has, and documents with the differences of their links' sorted numbers."""
-        pairs, inverse, counts = np.unique(np.concatenate([np.empty(0, np.int64), *self.links]), return_inverse=True, return_counts=True)
+        pairs, inverse, counts = np.unique(np.concatenate(self.links) if self.links else np.empty(0, np.int64), return_inverse=True, return_counts=True)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        pairs, counts, number = pairs[order], counts[order].astype(np.int32), rank[inverse]
+        pairs, counts, number = pairs[order].astype(np.int64), counts[order].astype(np.int32), rank[inverse]
         rows = [(PAIRS, block, 0, False, 0, 0, 0, "", k, pairs[k : k + TOGETHER], counts[k : k + TOGETHER]) for k in range(0, len(pairs), TOGETHER)]
         none, at = np.empty(0, np.int64), 0
         for doc, links in zip(self.docs, self.links, strict=True):
