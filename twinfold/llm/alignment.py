@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Memo, claim, stage, texts, trimmed
 
 #: Segments of a generation of the memo, characters of new segments encoded at once and of texts worked on at once, links of a block.
-MEMO, CHUNK, PIECE, BLOCK = 120_000, 100_000, 1_000_000, 2_000_000
+MEMO, CHUNK, PIECE, BLOCK = 120_000, 30_000, 1_000_000, 2_000_000
 #: Kinds of rows: pairs of a block, its documents.
 PAIRS, DOC = 0, 1
 #: Pairs of a block in one row.
